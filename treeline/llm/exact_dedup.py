@@ -64,8 +64,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", patte
     marked = recipes.withColumn("mark", F.xxhash64("recipe"))
     best = F.min(F.struct((-F.col("points")).alias("points"), F.col("doc_id"))).alias("best")
     groups = marked.groupBy(*key).agg(F.count(F.lit(1)).alias("group_size"), best)
-    # A group of one is its own survivor: only larger groups are joined back.
-    shared = groups.where("group_size > 1").select(*key, "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.points").alias("best_points"))
+    # A group of one is its own survivor: only larger groups are joined back. They are cut off first, so that
+    # the join reads nothing but exchanges and a hot group's rows can be split among tasks.
+    shared = cut(groups.where("group_size > 1").select(*key, "group_size", F.col("best.doc_id").alias("keep_id")))
     found = marked.join(shared, key, "left")
     keep_id = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return found.select("doc_id", keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),

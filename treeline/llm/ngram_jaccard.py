@@ -414,7 +414,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = sparse_links.unionByName(_dense_links(sets.join(dense.select("rep"), "rep", "left_semi")))
     found = components(links, "ra", "rb")
 
-    named = classes.join(found, classes["rep"] == found["node"], "left").where("size > 1 or component is not null").select("sig", "n", "rep", "component")
+    # Cut off, so that the last join reads nothing but exchanges and a hot class can be split among tasks.
+    named = cut(classes.join(found, classes["rep"] == found["node"], "left").where("size > 1 or component is not null").select("sig", "n", "rep", "component"))
     whole = made.select("doc_id", "sig", "n").join(named, ["sig", "n"], "left")
     return whole.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
