@@ -36,7 +36,7 @@ def md5_bucket(c: Column, n: int | Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(c.cast("string"), F.lit("null"))), 1, 8), 16, 10).cast("long") % F.lit(n)
 
 
-def bucket_count(rows: int, per_bucket: int = 20_000, least: int = 64, most: int = 1 << 18) -> int:
+def bucket_count(rows: int, per_bucket: int = 20_000, least: int = 512, most: int = 1 << 18) -> int:
     """Buckets that keep each near ``per_bucket`` rows; a function of the row count alone."""
     return max(least, min(most, -(-rows // per_bucket)))
 
