@@ -27,8 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Characters of text whose pieces are merged together.
-SLICE = 12_000_000
-_NONE = np.int64(1 << 40)
+SLICE = 5_000_000
+_NONE = np.int32(1 << 30)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -70,7 +70,7 @@ class MergeReplay:
             self.late = regex.compile(f"[{late}]")
             self.late_split = regex.compile("(?V1)" + pattern.replace(r"\p{L}", rf"[\p{{L}}--[{late}]]").replace(r"\p{N}", rf"[\p{{N}}--[{late}]]"))
         self.token = {r: t for t, r in ranks.items()}
-        self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         keys, made = [], []
         for t, r in ranks.items():
             for i in range(1, len(t)):
@@ -79,7 +79,7 @@ class MergeReplay:
                     keys.append(a << 32 | b)
                     made.append(r)
         order = np.argsort(np.array(keys, np.int64))
-        self.pair, self.made = np.array(keys, np.int64)[order], np.array(made, np.int64)[order]
+        self.pair, self.made = np.array(keys, np.int64)[order], np.array(made, np.int32)[order]
 
     def pieces(self, text: str) -> list[str]:
         if self.late and not text.isascii() and self.late.search(text):
@@ -87,7 +87,7 @@ class MergeReplay:
         return self.split.findall(text)
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left << 32 | right
+        key = left.astype(np.int64) << 32 | right
         at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
         return np.where(self.pair[at] == key, self.made[at], _NONE)
 
@@ -96,11 +96,11 @@ class MergeReplay:
         size = np.array([len(p) for p in pieces], np.int64)
         token = self.byte[np.frombuffer(b"".join(pieces), np.uint8)]
         n, ends = len(token), np.cumsum(size)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         after[ends - 1] = -1
         before[ends - size] = -1
         alive = np.ones(n, bool)
-        rank = np.full(n, _NONE)
+        rank = np.full(n, _NONE, np.int32)
         index: dict[int, list[np.ndarray]] = {}
         queue: list[int] = []
 
@@ -122,7 +122,7 @@ class MergeReplay:
                     index[key] = [part]
                     heapq.heappush(queue, key)
 
-        file(np.flatnonzero(after >= 0))
+        file(np.flatnonzero(after >= 0).astype(np.int32))
         while queue:
             r = heapq.heappop(queue)
             parts = index.pop(r)
@@ -153,7 +153,7 @@ class MergeReplay:
         """Ids of each text as unsigned 32-bit integers."""
         seen: defaultdict[str, int] = defaultdict()
         seen.default_factory = seen.__len__
-        spots = [np.array([seen[p] for p in self.pieces(t)], np.int64) for t in texts]
+        spots = [np.array([seen[p] for p in self.pieces(t)], np.int32) for t in texts]
         pieces = [p.encode("utf-8", "surrogatepass") for p in seen]
         count = np.zeros(len(pieces), np.int64)
         whole = np.array([self.ranks.get(p, -1) for p in pieces], np.int64)
@@ -200,7 +200,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
         coder = _replay(model.value)
         for b in batches:
             texts = b.column(1)
-            sizes = np.cumsum(np.array([len(t) if t else 0 for t in texts.to_pylist()], np.int64))
+            sizes = np.cumsum(np.array([len(t.as_py() or "") for t in texts], np.int64))
             at = 0
             while at < b.num_rows:
                 end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE, side="right")))

@@ -30,6 +30,9 @@ PERIOD = 1_000
 #: Sources whose weights the driver lays out; more is an error, not a silent change.
 MAX_SOURCES = 10_000
 BLOCK_ROWS = 64
+#: Columns that are made; input columns of these names are left out of ``mix`` and kept by ``mixed_order``.
+MADE = ["weight", "block", "release", "deadline", "slot", "place"]
+_IN = "__in_"
 
 
 def source_key(c):
@@ -80,9 +83,18 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_r
     ``weights`` maps sources to positive weights; sources that it leaves out, and all if it is
     None, get the square root of their row count (the scale of given weights is then theirs).
     """
+    names = docs.columns
+    made = _mixed(docs, weights, block_rows, period, id_col, source_col)
+    return made.select(*[F.col(_IN + c).alias(c) for c in names if c not in MADE], *MADE)
+
+
+def _mixed(docs, weights, block_rows, period, id_col, source_col) -> DataFrame:
+    """Input columns under names of their own, and the columns that are made."""
     spark = docs.sparkSession
     targets = natural_weights(docs, source_col)
     total = docs.count()
+    docs = docs.select(*[F.col(c).alias(_IN + c) for c in docs.columns])
+    id_col, source_col = _IN + id_col, _IN + source_col
     for s, w in (weights or {}).items():
         k = "n" if s is None else "s" + s
         if w <= 0:
@@ -109,6 +121,8 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_r
         (F.col("__rank") % F.lit(block_rows)).alias("place"))
 
 
-def mixed_order(docs: DataFrame, **parameters) -> DataFrame:
-    """``docs``, all rows, range-partitioned and sorted by their slots."""
-    return mix(docs, **parameters).repartitionByRange("slot", "place", "doc_id").sortWithinPartitions("slot", "place", "doc_id").select(*docs.columns)
+def mixed_order(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """``docs``, all rows and columns, range-partitioned and sorted by their slots."""
+    order = ["slot", "place", _IN + id_col]
+    made = _mixed(docs, weights, block_rows, period, id_col, source_col)
+    return made.repartitionByRange(*order).sortWithinPartitions(*order).select(*[F.col(_IN + c).alias(c) for c in docs.columns])

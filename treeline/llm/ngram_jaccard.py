@@ -43,12 +43,11 @@ HOT = 64
 GROUPS = 16
 #: A tile's bounds, rows in a leaf.
 TILE_ROWS, TILE_TOKENS, LEAF_ROWS = 2_048, 1_500_000, 32
-SLICE = 4_000_000
+SLICE = 1_500_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _PINV = np.uint64(pow(int(_P), -1, 1 << 64))
 _WORD = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
-_powers: list[np.ndarray] = []
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -58,11 +57,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> list[np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        _powers[:] = [np.cumprod(np.r_[np.uint64(1), np.full(size - 1, base, np.uint64)], dtype=np.uint64) for base in (_P, _PINV)]
-    return _powers
+def _power(base: np.uint64, n: int) -> np.ndarray:
+    """base^0 to base^(n - 1), modulo 2^64, as products of two short tables."""
+    step = 4_096
+    low = np.cumprod(np.r_[np.uint64(1), np.full(step - 1, base, np.uint64)], dtype=np.uint64)
+    high = np.cumprod(np.r_[np.uint64(1), np.full(n // step, low[-1] * base, np.uint64)], dtype=np.uint64)
+    return (high[:, None] * low[None, :]).ravel()[:n]
 
 
 def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -74,9 +74,9 @@ def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     space = (buf == 32) | ((buf >= 9) & (buf <= 13))
     edge = np.diff(np.r_[True, space, True].astype(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    power, inverse = _power(len(buf) + 1)
-    total = np.r_[np.uint64(0), np.cumsum(buf.astype(np.uint64) * power[: len(buf)], dtype=np.uint64)]
-    word = _mixed((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+    total = np.r_[np.uint64(0), np.cumsum(buf * _power(_P, len(buf)), dtype=np.uint64)]
+    word = _mixed((total[end] - total[start]) * _power(_PINV, len(buf) + 1)[start] + (end - start).astype(np.uint64))
+    del total
     ends = np.cumsum(sizes)
     words = np.diff(np.r_[0, np.searchsorted(start, ends)])
     first = np.cumsum(words) - words

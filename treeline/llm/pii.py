@@ -8,7 +8,8 @@ one for one, so positions stay. Positions are sums of the lengths of matches and
 between them.
 
 The base spans are seeds. Every identifier-like token (6 to 64 characters, four digits or an ``@``)
-is an instance with lexical patterns: its two words before, and the word before with the word behind. In
+is an instance with lexical patterns from the text between it and the tokens beside it: its two words
+before, and the word before with the word behind. In
 each round patterns are scored by the share of their distinct instances that are known to be of a
 kind, instances by their patterns (noisy or), and instances that score enough become known for the
 next round. Tokens found in the end add spans; base spans always stay. Patterns and instances are
@@ -38,22 +39,39 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TOKEN = r"(?<![A-Za-z0-9._%+@/-])[A-Za-z0-9._%+@/-]*[0-9@][A-Za-z0-9._%+@/-]*+"
 #: Rounds of the bootstrap; least distinct instances of a pattern, least share of a kind, least score of an instance.
 ROUNDS, SUPPORT, CONFIDENCE, SCORE = 2, 3, 0.7, 0.9
-_SPANS = "array<struct<start:long,end:long,value:string>>"
+_SPANS = "array<struct<start:long,end:long,value:string,left:string,right:string>>"
+#: Matches whose positions are summed together; sums of such runs are then summed, so that a text with very many matches takes no quadratic time.
+RUN = 128
+#: Characters of the gaps around a token that are searched for its context.
+LEFT, RIGHT = 48, 32
+#: Characters of a cell in which tokens and base spans meet.
+CELL = 64
 
 
 def _found(text: str, pattern: str, when: Column) -> Column:
-    """Spans (start, end, value) of the pattern's matches in a column, where ``when`` holds."""
+    """Spans (start, end, value, left, right) of the pattern's matches in a column, where ``when`` holds; left and right are the ends of the gaps beside the match."""
     matches = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(F.col(text), pattern, -1), F.char_length)
-    both = F.zip_with(matches, F.slice(gaps, F.lit(1), F.size(matches)), lambda m, g: F.struct(g.cast("long").alias("gap"), m.alias("value")))
+    gaps = F.split(F.col(text), pattern, -1)
+    ends = F.transform(gaps, lambda g: F.struct(F.char_length(g).cast("long").alias("size"), F.substring(g, -LEFT, LEFT).alias("left"), F.substring(g, 1, RIGHT).alias("right")))
+    beside = F.zip_with(ends, F.slice(ends, F.lit(2), F.greatest(F.size(gaps) - 1, F.lit(0))), lambda a, b: F.struct(a["size"].alias("gap"), a["left"].alias("left"), b["right"].alias("right")))
+    both = F.zip_with(matches, F.slice(beside, F.lit(1), F.size(matches)), lambda m, g: F.struct(g["gap"].alias("gap"), m.alias("value"), g["left"].alias("left"), g["right"].alias("right")))
     empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPANS).alias("spans"))
 
     def add(s, x):
         start = s["at"] + x["gap"]
         end = start + F.char_length(x["value"])
-        return F.struct(end.alias("at"), F.concat(s["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("spans"))
+        return F.struct(end.alias("at"), F.concat(s["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), x["left"].alias("left"), x["right"].alias("right")))).alias("spans"))
 
-    return F.when(when, F.aggregate(both, empty, add, lambda s: s["spans"])).otherwise(F.array().cast(_SPANS))
+    # The one-element array binds the matches to a variable, so they are found once and not once a run.
+    runs = F.get(F.transform(F.array(both), lambda b: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.ceil(F.size(b) / F.lit(RUN)).cast("int") - 1, F.lit(0))), lambda r: F.aggregate(F.slice(b, r * RUN + 1, F.lit(RUN)), empty, add))), F.lit(0))
+    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{_SPANS}>").alias("runs"))
+
+    def shift(s, r):
+        moved = F.transform(r["spans"], lambda x: F.struct((x["start"] + s["at"]).alias("start"), (x["end"] + s["at"]).alias("end"), x["value"].alias("value"), x["left"].alias("left"), x["right"].alias("right")))
+        return F.struct((s["at"] + r["at"]).alias("at"), F.concat(s["runs"], F.array(moved)).alias("runs"))
+
+    return F.when(when, F.aggregate(runs, none, shift, lambda s: F.flatten(s["runs"]))).otherwise(F.array().cast(_SPANS))
 
 
 def digits(c: Column) -> Column:
@@ -93,8 +111,7 @@ def base_spans(texts: DataFrame) -> DataFrame:
     words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
     def context(x):
-        left = words(F.substring(F.col("text"), F.greatest(x["start"] - 47, F.lit(1)).cast("int"), F.least(x["start"], F.lit(48)).cast("int")))
-        right = words(F.substring(F.col("text"), (x["end"] + 1).cast("int"), F.lit(32)))
+        left, right = words(x["left"]), words(x["right"])
         last = lambda k: F.coalesce(F.get(left, F.size(left) - k), F.lit("^"))
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), F.array(
             F.concat_ws(" ", last(2), last(1), F.lit("_")), F.concat_ws(" ", last(1), F.lit("_"), F.coalesce(F.get(right, F.lit(0)), F.lit("$")))).alias("patterns"))
@@ -136,10 +153,15 @@ def _place(x):
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found."""
     held = cut(base_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))))
-    all_base = F.concat(*[F.transform(k, _of_kind(k)) for k in KINDS])
-    covering = lambda t: F.get(F.filter(all_base, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])), F.lit(0))["kind"]
-    tokens = held.where(F.size("token") > 0).select("doc_id", "mark", F.explode(F.transform("token", lambda t: t.withField("base", covering(t)))).alias("t"))
-    tokens = cut(tokens.select("doc_id", "mark", "t.*"))
+    # Tokens that touch base spans are known to be of their kind; both meet in cells of CELL characters, so nothing is compared across a text.
+    cells = lambda c: F.explode(F.sequence(F.floor(c["start"] / CELL), F.floor((c["end"] - 1) / CELL)))
+    listed = held.where(F.size("token") > 0).select("doc_id", "mark", F.explode("token").alias("t"))
+    spans = held.select("doc_id", "mark", F.explode(F.concat(*[F.transform(k, _of_kind(k)) for k in KINDS])).alias("s")).select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "s", cells(F.col("s")).alias("c"))
+    near = listed.select("doc_id", "mark", "t.start", "t.end", cells(F.col("t")).alias("cell"))
+    touch = near.join(spans, near["doc_id"].eqNullSafe(spans["d"]) & (near["mark"] == spans["m"]) & (near["cell"] == spans["c"]) & (spans["s.start"] < near["end"]) & (near["start"] < spans["s.end"]))
+    known = touch.groupBy(F.col("doc_id").alias("d"), F.col("mark").alias("m"), F.col("start").alias("from")).agg(F.min("s.kind").alias("base"))
+    tokens = listed.select("doc_id", "mark", "t.*")
+    tokens = cut(tokens.join(known, tokens["doc_id"].eqNullSafe(known["d"]) & (tokens["mark"] == known["m"]) & (tokens["start"] == known["from"]), "left").drop("d", "m", "from"))
     edges = cut(tokens.select("value", F.explode(F.array_distinct("patterns")).alias("pattern")).distinct())
     seeds = tokens.where("base is not null").groupBy("value").agg(F.min("base").alias("kind"), F.lit(1.0).alias("score"))
     new = _known(edges, cut(seeds)).where("score < 1").select("value", "kind")

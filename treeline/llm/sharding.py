@@ -2,7 +2,8 @@
 
 Links join rows with equal texts. Every linked row starts in a shard dealt by its id; in each
 round a *cell* (the rows of one group that started together) looks at where its group's other
-rows are and asks to move to the fullest shard of its group that still has room for it. Requests
+rows are and asks to move to the fullest shard of its group (of a group that fills several shards:
+to one of so many fullest) if it still has room for it. Requests
 are granted per target shard in order of gain until the shard's quota is used, so no shard
 overflows. Rows without links have no preference and fill the shards up at the end, which makes
 row counts equal to within one.
@@ -72,10 +73,14 @@ def _round(cells: DataFrame, group: list[str], quota: list[int], turn: int) -> D
     places = cells.groupBy(*group, "shard").agg(F.sum("n").alias("gn")).groupBy(*group).agg(
         F.sort_array(F.collect_list(F.struct("gn", F.xxhash64("h", "shard").alias("tie"), "shard")), asc=False).alias("places"))
     seen = cells.join(places, group).withColumn("own", F.filter("places", lambda p: p["shard"] == F.col("shard"))[0])
-    wanted = F.filter("places", lambda p: (
-        (p["gn"] > F.col("own.gn")) | ((p["gn"] == F.col("own.gn")) & (p["tie"] > F.col("own.tie")))
-    ) & (F.element_at(rooms, p["shard"] + 1) >= F.col("n")))
-    asked = seen.withColumn("goal", F.get(wanted, F.lit(0))).select(
+    # A group needs as many shards as its rows fill; rows elsewhere spread over the fullest of those that have room.
+    rows = F.aggregate("places", F.lit(0).cast("long"), lambda s, p: s + p["gn"])
+    home = F.slice("places", F.lit(1), F.ceil(rows / F.lit(max(1, min(quota)))).cast("int"))
+    wanted = F.when(F.exists(home, lambda p: p["shard"] == F.col("shard")), F.slice("places", 1, 0)).otherwise(
+        F.filter(home, lambda p: F.element_at(rooms, p["shard"] + 1) >= F.col("n")))
+    seen = seen.withColumn("wanted", wanted)
+    pick = F.pmod(F.xxhash64("h", "cell", F.lit(-turn)), F.greatest(F.size("wanted"), F.lit(1))).cast("int")
+    asked = seen.withColumn("goal", F.get("wanted", pick)).select(
         *group, "cell", "n", "shard", F.col("goal.shard").alias("target"),
         F.floor(F.log2(F.col("goal.gn") - F.col("own.gn") + F.lit(1))).cast("int").alias("level"),
         F.pmod(F.xxhash64("h", "cell", F.lit(turn)), F.lit(SLICES)).cast("int").alias("slice"))
