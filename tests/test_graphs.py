@@ -23,6 +23,17 @@ def paths(df):
     return {r["id"]: tuple(r["path"]) for r in df.collect()}
 
 
+@pytest.mark.skipif(not TOY.is_dir(), reason="no toy files here")
+@pytest.mark.parametrize("name", ["1", "3", "4"])
+def test_solving_whole_subgraphs_or_one_level_a_job_is_the_same(spark, name):
+    e, attrs = T.read_edges(spark, str(TOY / "toy.edgelist")), T.read_attributes(spark, str(TOY / "toy.attrs")) if name == "4" else None
+    whole, by_level, mixed = (paths(hierarchy.build_hierarchy(e, name, attrs, whole_edges=w)) for w in (10_000, 0, 60))
+    assert whole == by_level == mixed
+    assert name == "3" or max(map(len, whole.values())) > 1
+    shallow = paths(hierarchy.build_hierarchy(e, name, attrs, max_depth=1))
+    assert shallow == {i: p[:1] for i, p in whole.items()}
+
+
 def test_two_cliques_split(spark):
     clique = lambda k: [(k + i, k + j) for i in range(4) for j in range(i)]
     e = edges(spark, clique(0) + clique(4) + [(0, 4)])

@@ -1,4 +1,4 @@
-"""Recursive community hierarchy, built level by level: all open subgraphs of a depth are solved in one job."""
+"""Recursive community hierarchy: all open subgraphs of a depth are solved in one job, and small ones down to their leaves at once."""
 
 from __future__ import annotations
 
@@ -15,12 +15,15 @@ from .partition import Graph, label_propagation_distributed, louvain_distributed
 
 #: Edges up to which a subgraph is solved in one task.
 EXACT_EDGES = 2_000_000
+#: Edges up to which that task also solves all subgraphs below; between the two, subgraphs are dealt anew at each depth.
+WHOLE_EDGES = 200_000
 
 
-def build_hierarchy(edges: DataFrame, partition: str = "1", attrs: DataFrame | None = None, lam: float = 0.2, seed: int = 42, exact_edges: int = EXACT_EDGES, max_depth: int = 1_000) -> DataFrame:
+def build_hierarchy(edges: DataFrame, partition: str = "1", attrs: DataFrame | None = None, lam: float = 0.2, seed: int = 42, exact_edges: int = EXACT_EDGES, max_depth: int = 1_000, whole_edges: int = WHOLE_EDGES) -> DataFrame:
     """(id, path): one row a node, the labels of its communities from the root down; an empty path if the root is one community.
 
     ``edges`` has u, v and may have pos, the order that decides ties. Attributes (id, x) are used by partition 4.
+    A subgraph splits if it has more than one label; otherwise it is a leaf.
     """
     solve = strategy(partition)
     lam = max(0.0, lam)
@@ -32,17 +35,16 @@ def build_hierarchy(edges: DataFrame, partition: str = "1", attrs: DataFrame | N
         nodes = nodes.withColumn("x", F.lit(None).cast("array<double>"))
     state = cut(nodes.withColumn("path", F.array().cast("array<int>")).withColumn("open", F.lit(True)))
     live = cut(edges.select("u", "v", order.alias("pos"), F.array().cast("array<int>").alias("path")))
-    for _ in range(max_depth):
+    for depth in range(max_depth):
         sizes = live.groupBy("path").count()
         big = [r["path"] for r in sizes.where(F.col("count") > exact_edges).collect()]  # few: each has over exact_edges edges
-        labels = _solved(live, state, solve, lam, seed, big, partition, attrs)
-        # A subgraph splits if it has more than one label; otherwise it is a leaf.
-        labels = cut(labels)
-        split = labels.groupBy("path").agg(F.countDistinct("label").alias("k")).where("k > 1").select("path")
-        moved = labels.join(split, "path").select("id", "label")
-        state = cut(state.join(moved, "id", "left").select(
-            "id", "x", F.when(F.col("label").isNotNull(), F.concat("path", F.array(F.col("label").cast("int")))).otherwise(F.col("path")).alias("path"), F.col("label").isNotNull().alias("open")))
+        run = _solver(solve, lam, seed, whole_edges, max_depth - depth)
+        found = cut(_solved(live, state, run, lam, seed, big, partition, attrs))
+        state = cut(state.join(found, "id", "left").select(
+            "id", "x", F.concat("path", F.coalesce("below", F.array().cast("array<int>"))).alias("path"), F.coalesce("more", F.lit(False)).alias("open")))
         ends = state.where("open").select("id", "path")
+        if ends.isEmpty():
+            break
         a, b = ends.select(F.col("id").alias("u"), F.col("path").alias("pu")), ends.select(F.col("id").alias("v"), F.col("path").alias("pv"))
         live = cut(live.drop("path").join(a, "u").join(b, "v").where("pu = pv").select("u", "v", "pos", F.col("pu").alias("path")))
         if live.isEmpty():
@@ -50,13 +52,13 @@ def build_hierarchy(edges: DataFrame, partition: str = "1", attrs: DataFrame | N
     return state.select("id", "path")
 
 
-def _solved(live: DataFrame, state: DataFrame, solve, lam: float, seed: int, big: list, partition: str, attrs: DataFrame | None) -> DataFrame:
-    """(path, id, label) of every node in a subgraph that has edges."""
+def _solved(live: DataFrame, state: DataFrame, run, lam: float, seed: int, big: list, partition: str, attrs: DataFrame | None) -> DataFrame:
+    """(id, below, more) of every node in a subgraph that has edges: its labels below the subgraph, and whether what they name is still to be solved."""
     key = lambda df: df.withColumn("gid", F.array_join(F.transform("path", lambda p: p.cast("string")), "/"))
     is_big = F.col("path").isin([]) if not big else F.array_contains(F.array(*[F.array(*[F.lit(int(p)) for p in path]).cast("array<int>") for path in big]), F.col("path"))
     small_edges, nodes = key(live.where(~is_big) if big else live), key(state.where("open"))
     with_edges = nodes.join(small_edges.select("gid").distinct(), "gid", "left_semi")
-    out = with_edges.groupBy("gid").cogroup(small_edges.groupBy("gid")).applyInPandas(_solver(solve, lam, seed), "path array<int>, id long, label int")
+    out = with_edges.groupBy("gid").cogroup(small_edges.groupBy("gid")).applyInPandas(run, "id long, below array<int>, more boolean")
     for path in big:
         same = F.col("path") == F.array(*[F.lit(int(p)) for p in path]).cast("array<int>")
         members, adj = cut(state.where(same).select("id")), cut(symmetric(live.where(same).select("u", "v")))
@@ -66,7 +68,9 @@ def _solved(live: DataFrame, state: DataFrame, solve, lam: float, seed: int, big
             found = label_propagation_distributed(adj, members, seed=seed)
         else:
             found = louvain_distributed(adj, members, attrs if partition == "4" else None, lam, levels=1 if partition in ("2", "4") else 10, seed=seed)
-        out = out.unionByName(found.select(F.array(*[F.lit(int(p)) for p in path]).cast("array<int>").alias("path"), "id", F.col("comm").cast("int").alias("label")))
+        found = cut(found.select("id", F.col("comm").cast("int").alias("label")))
+        if found.select("label").distinct().limit(2).count() > 1:
+            out = out.unionByName(found.select("id", F.array("label").alias("below"), F.lit(True).alias("more")))
     return out
 
 
@@ -83,12 +87,38 @@ def local_graph(ids: np.ndarray, u: np.ndarray, v: np.ndarray) -> Graph:
     return Graph(links, loops)
 
 
-def _solver(solve, lam: float, seed: int):
+def _solver(solve, lam: float, seed: int, whole_edges: int, levels: int):
+    """Solver of one subgraph: one level, or up to ``levels`` if it has at most ``whole_edges`` edges."""
+
     def run(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
         nodes, edges = nodes.sort_values("id"), edges.sort_values(["pos", "u", "v"])
         ids = nodes["id"].to_numpy()
         x = [None if v is None else np.asarray(v, float) for v in nodes["x"]]
-        labels = solve(local_graph(ids, edges["u"].to_numpy(), edges["v"].to_numpy()), x=x, lam=lam, seed=seed)
-        return pd.DataFrame({"path": nodes["path"].tolist(), "id": ids, "label": labels})
+        below: list[list[int]] = [[] for _ in ids]
+        whole = len(edges) <= whole_edges
+        waiting = [(np.arange(len(ids)), np.searchsorted(ids, edges["u"].to_numpy()), np.searchsorted(ids, edges["v"].to_numpy()), levels if whole else 1)]
+        while waiting:
+            own, u, v, left = waiting.pop()
+            labels = np.asarray(solve(local_graph(own, u, v), x=[x[i] for i in own.tolist()], lam=lam, seed=seed))
+            if (labels == labels[0]).all():
+                continue
+            for i, label in zip(own.tolist(), labels.tolist()):
+                below[i].append(label)
+            if left > 1:
+                lu, lv = labels[np.searchsorted(own, u)], labels[np.searchsorted(own, v)]
+                waiting += [(*part, left - 1) for part in _parts(own, labels, u, v, lu, lv)]
+        return pd.DataFrame({"id": ids, "below": below, "more": not whole and bool(len(below) and below[0])})
 
     return run
+
+
+def _parts(own: np.ndarray, labels: np.ndarray, u: np.ndarray, v: np.ndarray, lu: np.ndarray, lv: np.ndarray):
+    """(nodes, u, v) of each label that has edges inside, in their order."""
+    inside = np.flatnonzero(lu == lv)
+    inside = inside[np.argsort(lu[inside], kind="stable")]
+    names, first = np.unique(lu[inside], return_index=True)
+    order = np.argsort(labels, kind="stable")
+    sorted_labels = labels[order]
+    for name, at in zip(names.tolist(), np.split(inside, first[1:])):
+        lo, hi = np.searchsorted(sorted_labels, name), np.searchsorted(sorted_labels, name, side="right")
+        yield own[order[lo:hi]], u[at], v[at]
