@@ -278,6 +278,26 @@ def test_contexts_discover_identifiers(spark):
     assert got[102]["n_found"] == 0 and got[3]["spans"] == ",".join(base(rows[3][1]))
 
 
+def test_value_under_many_trusted_patterns_is_found(spark):
+    """25 patterns whose noisy or rounds to 1."""
+    rows = [(100 * k + i, f"hello word{'abcdefghijklmnopqrstuvwxy'[k]} me at user{i}@host{i}.example.com soon".replace("me at", f"me{'abcdefghijklmnopqrstuvwxy'[k]} at")) for k in range(25) for i in range(9)]
+    unseen = [(10_000 + k, f"word{c} me{c} at someone99887@intranet next{c}") for k, c in enumerate("abcdefghijklmnopqrstuvwxy")]
+    got = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(rows + unseen, "doc_id long, text string")).collect()}
+    for i, t in unseen:
+        at = t.index("someone")
+        assert got[i]["n_found"] == 1 and got[i]["spans"] == f"email:{at}:{at + 21}" and got[i]["n_email"] == 0
+    assert all(got[i]["n_found"] == 0 for i, _ in rows)
+
+
+def test_part_of_a_base_span_is_found_where_it_stands_alone(spark):
+    rows = [(i, f"please ring office +4420794609{i} now") for i in range(10, 22)] + [(i, f"word{i} thing {1000000 + i} other") for i in range(30, 40)]
+    rows += [(100, "dial +1 (212) 555-1234 today"), (101, "so ring office 555-1234 now"), (102, "dial +1 (212) 555-9876 today"), (103, "a part labelled 555-9876 broke")]
+    got = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    at = rows[-3][1].index("555")
+    assert got[101]["n_found"] == 1 and got[101]["spans"] == f"phone:{at}:{at + 8}" and got[101]["n_phone"] == 0
+    assert got[100]["n_found"] == 0 and got[100]["n_phone"] == 1 and got[103]["n_found"] == 0
+
+
 # 9 nearest neighbours
 
 

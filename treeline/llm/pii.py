@@ -12,7 +12,8 @@ is an instance with lexical patterns from the text between it and the tokens bes
 before, and the word before with the word behind. In
 each round patterns are scored by the share of their distinct instances that are known to be of a
 kind, instances by their patterns (noisy or), and instances that score enough become known for the
-next round. Tokens found in the end add spans; base spans always stay. Patterns and instances are
+next round. Tokens found in the end add spans where they stand outside base spans, seeds too if their patterns there
+score enough; base spans always stay. Patterns and instances are
 aggregated in tasks before they are shuffled, so a context that a third of all tokens share is no
 hot spot.
 
@@ -119,18 +120,23 @@ def base_spans(texts: DataFrame) -> DataFrame:
     return found.select("doc_id", "mark", *KINDS, F.transform(F.filter("token", like), context).alias("token"))
 
 
-def _known(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(value, kind, score) of instances after the bootstrap; seeds score 1."""
-    known = seeds
+def _found_values(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(value, kind) of instances whose patterns outside base spans score enough after the bootstrap; seeds are judged like any other.
+
+    ``edges``: value, pattern and free, whether the pattern is met outside base spans. Scores are compared as
+    log(1 - score), because the noisy or of many patterns rounds to 1.
+    """
+    known, best = seeds, None
     totals = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("all")).where(F.col("all") >= SUPPORT)
     for _ in range(ROUNDS):
         hits = edges.join(known, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("hits"))
         trusted = hits.join(totals, "pattern").withColumn("confidence", F.col("hits") / (F.col("all") + F.lit(1))).where(
             (F.col("confidence") >= CONFIDENCE) & (F.col("hits") >= SUPPORT - 1)).select("pattern", "kind", "confidence")
-        scored = edges.join(trusted, "pattern").groupBy("value", "kind").agg((F.lit(1.0) - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("score"))
-        best = scored.where(F.col("score") >= SCORE).groupBy("value").agg(F.max(F.struct("score", "kind")).alias("b")).select("value", F.col("b.kind").alias("kind"), F.col("b.score").alias("score"))
-        known = cut(seeds.unionByName(best.join(seeds, "value", "left_anti")))
-    return known
+        scored = edges.where("free").join(trusted, "pattern").groupBy("value", "kind").agg((-F.sum(F.log1p(-F.col("confidence")))).alias("evidence")).withColumn(
+            "score", F.lit(1.0) - F.exp(-F.col("evidence")))
+        best = cut(scored.where(F.col("score") >= SCORE).groupBy("value").agg(F.max(F.struct("evidence", "kind", "score")).alias("b")).select("value", F.col("b.kind").alias("kind"), F.col("b.score").alias("score")))
+        known = seeds.unionByName(best.join(seeds, "value", "left_anti"))
+    return best.select("value", "kind")
 
 
 # Functions of one parameter each: a second one would get an element's index.
@@ -162,9 +168,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     known = touch.groupBy(F.col("doc_id").alias("d"), F.col("mark").alias("m"), F.col("start").alias("from")).agg(F.min("s.kind").alias("base"))
     tokens = listed.select("doc_id", "mark", "t.*")
     tokens = cut(tokens.join(known, tokens["doc_id"].eqNullSafe(known["d"]) & (tokens["mark"] == known["m"]) & (tokens["start"] == known["from"]), "left").drop("d", "m", "from"))
-    edges = cut(tokens.select("value", F.explode(F.array_distinct("patterns")).alias("pattern")).distinct())
+    edges = cut(tokens.select("value", F.col("base").isNull().alias("free"), F.explode(F.array_distinct("patterns")).alias("pattern")).groupBy("value", "pattern").agg(F.bool_or("free").alias("free")))
     seeds = tokens.where("base is not null").groupBy("value").agg(F.min("base").alias("kind"), F.lit(1.0).alias("score"))
-    new = _known(edges, cut(seeds)).where("score < 1").select("value", "kind")
+    new = _found_values(edges, cut(seeds))
     extra = tokens.where("base is null").join(new, "value").groupBy("doc_id", "mark").agg(F.collect_set(F.struct("kind", "start", "end")).alias("extra"))
     rows = held.join(extra, [held["doc_id"].eqNullSafe(extra["doc_id"]), held["mark"] == extra["mark"]], "left").select(held["doc_id"], *KINDS, F.coalesce("extra", F.array().cast("array<struct<kind:string,start:long,end:long>>")).alias("extra"))
     base = F.flatten(F.array(*[F.transform(k, _as_text(k)) for k in KINDS]))
