@@ -67,6 +67,37 @@ def test_schedule_deviates_less_than_a_block():
         assert all(abs(have[x] - slots[x] * (t + 1) / period) < 1 for x in slots)
 
 
+@pytest.mark.parametrize("n", [20, 100, 300])
+def test_schedule_follows_targets(n):
+    """A source with a third of the weight beside many: within a block of the targets, not of rounded weights."""
+    weights = {"hot": n / 2, **{f"s{i}": 1 + i % 3 / 1e6 for i in range(n)}}
+    total = sum(weights.values())
+    slots, period = mixing.quantised(weights)
+    assert abs(slots["hot"] - weights["hot"] / total * period) < 1 and sum(slots.values()) == period and min(slots.values()) > 0
+    exact, whole = mixing.exact_weights(weights)
+    have = Counter()
+    for s, _, t in mixing.schedule(exact, whole, {s: 5_000 if s == "hot" else 100 for s in weights}):
+        have[s] += 1
+        if t < 10_000:
+            assert abs(have["hot"] - weights["hot"] / total * (t + 1)) < 1
+    assert have["hot"] == 5_000 and sum(have.values()) == 5_000 + 100 * n
+
+
+def test_mix_follows_targets_over_the_run(spark):
+    """Over 4,000 blocks a rounded weight of 1/3 would be a block off; small sources run dry long before."""
+    docs = spark.range(12_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 6_000, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 20)).alias("source"))
+    got = mixing.mix(docs, {"hot": 10.0, **{f"s{i}": 1.0 for i in range(20)}}, block_rows=1).toPandas()
+    hot = got[got.source == "hot"].sort_values("slot")
+    assert len(got) == 12_000 and got.slot.is_unique and ((got.release <= got.slot) & (got.slot < got.deadline)).all()
+    assert (np.abs(np.arange(1, 6_001) - (hot.slot.to_numpy() + 1) / 3) < 1).all() and np.allclose(hot.weight, 1 / 3)
+
+
+def test_mix_by_shuffle(odd_docs, monkeypatch):
+    want = Counter(map(repr, mixing.mix(odd_docs, block_rows=2).select(*mixing.MADE).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_BLOCKS", 0)
+    assert Counter(map(repr, mixing.mix(odd_docs, block_rows=2).select(*mixing.MADE).collect())) == want
+
+
 def test_mixing(spark, sf, texts):
     got = run(spark, sf, "op2_mixing")
     assert sorted(got.doc_id) == sorted(texts.doc_id) and not got.duplicated(["slot", "place"]).any()
