@@ -233,6 +233,14 @@ def test_exact_dedup_odd(odd_docs, no_docs, mark):
     assert exact_dedup.dedup(no_docs).count() == 0
 
 
+def test_keep_first_keeps_null_ids(spark, odd_docs):
+    want = Counter((i, n) for (i, _, _, kept, n), k in naive_dedup([(r["doc_id"], r["text"]) for r in odd_docs.collect()]).items() if kept for _ in range(k))
+    sha = F.sha2(exact_dedup.normalised(F.col("text")), 256)
+    assert Counter(map(tuple, exact_dedup.keep_first(odd_docs).select("doc_id", sha).collect())) == want and (None in {i for i, _ in want})
+    same = spark.createDataFrame([(1, "a b"), (None, "a b"), (2, "a\tb"), (None, "unlike"), (3, "un  like"), (4, "c")], "doc_id long, text string")
+    assert Counter(map(tuple, exact_dedup.keep_first(same).collect())) == Counter([(None, "a b"), (3, "un  like"), (4, "c")])
+
+
 def test_colliding_fingerprints_are_told_apart(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     weak = exact_dedup.dedup(docs, mark=lambda c: F.pmod(F.xxhash64(c), F.lit(50)))

@@ -89,6 +89,7 @@ def _with_verified(docs, id_col, text_col, pattern, mark, clashes):
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The surviving rows of ``docs``; of repeated rows with a surviving id all stay apart from copies that lost."""
-    kept = dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi")
+    """The rows of ``docs`` that ``dedup`` marks as kept, null ids too; of repeated rows with a surviving id all stay apart from copies that lost."""
+    kept = dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha256")).distinct()
+    same = docs[id_col].eqNullSafe(kept["__id"]) & (F.sha2(normalised(docs[text_col]), 256) == kept["__sha256"])
+    return docs.join(kept, same, "left_semi")
