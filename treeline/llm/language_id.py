@@ -4,15 +4,21 @@ For each language a suffix automaton of labelled text is built. A text is cross-
 from each point the longest match that the automaton holds is one phrase. The language whose
 automaton needs the fewest phrases, each weighed by the bits of a pointer into its training text,
 wins. Automata are completed into tables (a missing transition ends the phrase and restarts at the
-root), so that thousands of blocks are parsed side by side with one numpy lookup a character.
+root), so that thousands of blocks are parsed side by side with one numpy lookup a byte.
 
-Texts are lower-cased, runs of characters that are no letters become one separator, and whole texts
-are parsed in blocks of ``BLOCK`` characters, each starting a new phrase in every language alike.
+Texts are lower-cased, runs of characters that are no letters become one separator, and the UTF-8 bytes
+of what is left are the symbols, so letters of all scripts stay apart. Long texts are cut into blocks of
+``BLOCK`` bytes that are parsed side by side; then each block is parsed again from the state in which the block
+before it ended, until both parses meet. The phrases are those of one parse of the whole text.
+
+Every language that has a label is learned, from a bounded sample: up to ``TRAIN_ROWS`` documents a language in the
+order of a hash, first those of up to ``ROW_CHARS`` characters, whole, then the beginnings of longer ones, until there are ``TRAIN_BYTES``
+bytes of symbols; over ``TOTAL_BYTES`` / ``TRAIN_BYTES`` languages share ``TOTAL_BYTES`` evenly (64 bytes each at least). Prediction
+reads every text whole.
 
 Null texts and texts without a letter give ``und`` and score 0. Ties go to the language with
-more labelled rows, then to the smaller name. Training uses a bounded sample (``TRAIN_CHARS`` a language from about ``TRAIN_ROWS`` rows); prediction sees
-all text. If no labelled row exists, every text gives ``und``. Repeated rows are judged one by one; an empty table gives
-an empty result.
+more labelled rows, then to the smaller name. If no labelled row exists, every text gives ``und``. Repeated rows are judged one
+by one, null ids too; other columns, whatever their names, are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,31 +27,42 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import md5_bucket
-
-#: Bounds of the training sample: characters and rows a language, characters a row, languages.
-TRAIN_CHARS, TRAIN_ROWS, ROW_CHARS, MAX_LANGUAGES = 40_000, 200, 2_000, 64
-BLOCK, SLICE, LETTERS = 1_024, 6_000_000, 62
+#: Bounds of the training sample: bytes and rows a language, characters of a text that is taken whole, bytes of all languages.
+TRAIN_BYTES, TRAIN_ROWS, ROW_CHARS, TOTAL_BYTES = 40_000, 200, 5_000, 1_280_000
+BLOCK, SLICE = 1_024, 6_000_000
+_SPACE = 32
 
 
-def training_sample(docs: DataFrame, text_col: str, lang_col: str, id_col: str, rows: int = TRAIN_ROWS) -> dict[str, str]:
-    """Text by language, the most frequent first: rows drawn by a hash of their id at a rate set by each language's row count."""
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = known.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang_col).limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return {}
-    space = 1 << 32
-    rate = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(space, rows * space // r["n"]))])
-    drawn = known.where(md5_bucket(F.col(id_col), space) < F.element_at(rate, F.col(lang_col)))
-    # The sample's size is bounded by its parameters, with room for the scatter of a draw.
-    kept = drawn.select(F.col(lang_col).alias("lang"), F.col(id_col).cast("string").alias("id"), F.substring(text_col, 1, ROW_CHARS).alias("text")).limit(4 * rows * len(counts)).collect()
+def training_sample(docs: DataFrame, text_col: str, lang_col: str, id_col: str, rows: int = TRAIN_ROWS) -> dict[str, list[str]]:
+    """Texts by language, the language with most rows first. At most ``rows`` a language come to the driver, none of more than ROW_CHARS characters."""
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string"), text_col).alias("draw"), F.substring(text_col, 1, ROW_CHARS).alias("text"), (F.char_length(text_col) > ROW_CHARS).alias("cut"))
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").collect()  # a row a language
+    # Each task keeps its own first rows of a language before anything is shuffled.
+    first = Window.partitionBy("lang").orderBy("cut", "draw", "text")
+    kept = known.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= rows).collect()
     text: dict[str, list[str]] = {}
-    for r in sorted(kept, key=lambda r: (r["lang"], r["id"], r["text"])):
+    for r in sorted(kept, key=lambda r: (r["lang"], r["nth"])):
         text.setdefault(r["lang"], []).append(r["text"])
-    return {r[0]: "\n".join(text[r[0]]) for r in counts if r[0] in text}
+    return {r["lang"]: text[r["lang"]] for r in counts}
+
+
+def symbols(text: str) -> bytes:
+    """Lower-cased letters in UTF-8, with one space for each run of other characters behind a letter."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    wide = points >= 1 << 16
+    letter = _LETTER[np.where(wide, 0, points)]
+    if wide.any():
+        letter[wide] = [chr(p).isalpha() for p in points[wide].tolist()]
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]
+    return np.where(letter, points, _SPACE)[keep].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+
+
+_LETTER = np.array([chr(p).isalpha() for p in range(1 << 16)])
 
 
 def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
@@ -79,86 +96,97 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 
 
 class Parser:
-    """Completed automata of all languages in one table. An entry holds the row of the next state and the phrases that end."""
+    """Completed automata of all languages in one table. An entry holds the row of the next state and the phrases that end.
+
+    Each language's rows are as wide as the bytes of its own sample, and one for all others.
+    """
 
-    def __init__(self, samples: dict[str, str], chars: int = TRAIN_CHARS):
+    def __init__(self, samples: dict[str, list[str]], most: int = TRAIN_BYTES, total: int = TOTAL_BYTES):
         self.langs = list(samples)
-        seen: dict[str, int] = {}
-        for s in samples.values():
-            for c in s.lower():
-                if c.isalpha():
-                    seen[c] = seen.get(c, 0) + 1
-        letters = sorted(seen, key=lambda c: (-seen[c], c))[:LETTERS]
-        self.width = len(letters) + 2
-        points = np.arange(1 << 16)
-        alpha = np.array([chr(p).isalpha() for p in points])
-        self.code = np.where(alpha, self.width - 1, 0).astype(np.uint8)
-        for i, c in enumerate(letters):
-            if ord(c) < 1 << 16:
-                self.code[ord(c)] = i + 1
+        most = max(64, min(most, total // max(1, len(samples))))
+        self.column = np.zeros((len(self.langs), 256), np.int32)
         tables, base, self.roots, bits = [], 0, [], []
-        for lang in self.langs:
-            codes = self.codes(samples[lang])[0][:chars]
-            table = self._table(suffix_automaton(codes.tolist()), base)
+        for i, lang in enumerate(self.langs):
+            own = bytearray()
+            for text in samples[lang]:
+                own += symbols(text + "\n")
+                if len(own) >= most:
+                    break
+            own = bytes(own[:most])
+            held = sorted(set(own))
+            self.column[i, held] = np.arange(1, len(held) + 1)
+            table = self._table(suffix_automaton(self.column[i, list(own)].tolist()), base, len(held) + 1)
             self.roots.append(base)
             base += len(table)
             tables.append(table)
-            bits.append(np.log2(max(2, len(codes))))
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+            bits.append(np.log2(max(2, len(own))))
+        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int64)
+        if len(self.table) < 1 << 29:
+            self.table = self.table.astype(np.int32)
         self.bits = np.array(bits)
 
-    def _table(self, moves: list[dict[int, int]], base: int) -> np.ndarray:
-        """Entries are (index of the next state's row in the joint table) * 4 + phrases that end here."""
-        n, w = len(moves), self.width
-        to = np.full((n, w), -1, np.int64)
+    def _table(self, moves: list[dict[int, int]], base: int, width: int) -> np.ndarray:
+        """Entries are (index of the next state's row in the joint table) * 4 + phrases that end here. Column 0 has no transitions."""
+        to = np.full((len(moves), width), -1, np.int64)
         for s, m in enumerate(moves):
             to[s, list(m)] = list(m.values())
         root = to[0].copy()
-        fresh = np.where(root >= 0, root, 0)  # a character unknown to the language is a phrase of its own
+        fresh = np.where(root >= 0, root, 0)  # a byte unknown to the language is a phrase of its own
         alone = (root < 0).astype(np.int64)
         full = np.where(to >= 0, to, fresh[None, :])
         ends = np.where(to >= 0, 0, 1 + alone[None, :])
         ends[0] = alone
-        return ((base + full * w) * 4 + ends).astype(np.int32).ravel()
-
-    def codes(self, text: str) -> tuple[np.ndarray, bool]:
-        """Class of each character: 0 for a run without letters, then letters by frequency, then any other letter."""
-        points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        wide = points >= 1 << 16
-        codes = self.code[np.where(wide, 0, points)]
-        if wide.any():
-            codes[wide] = [self.width - 1 if chr(p).isalpha() else 0 for p in points[wide].tolist()]
-        keep = codes != 0
-        found = bool(keep.any())
-        keep[1:] |= keep[:-1]
-        return codes[keep], found
-
-    def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
+        return ((base + full * width) * 4 + ends).astype(np.int64).ravel()
+
+    def _step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        entry = self.table[state + self.column[:, symbol]]
+        return entry >> 2, entry & 3
+
+    def phrases(self, texts: list[bytes]) -> np.ndarray:
         """Phrases of each text in each language: an array of texts x languages."""
-        out = np.zeros((len(texts), len(self.langs)), np.int64)
         sizes = np.array([len(t) for t in texts], np.int64)
-        if not sizes.sum():
-            return out
+        roots = np.array(self.roots, np.int64)[:, None]
+        if not sizes.sum() or not self.langs:
+            return np.zeros((len(texts), len(self.langs)), np.int64)
+        flat = np.frombuffer(b"".join(texts), np.uint8)
         parts = -(-sizes // BLOCK)
+        head = np.cumsum(parts) - parts
         owner = np.repeat(np.arange(len(texts)), parts)
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
-        start = np.repeat(np.cumsum(sizes) - sizes, parts) + nth * BLOCK
-        length = np.minimum(BLOCK, np.repeat(sizes, parts) - nth * BLOCK)
+        nth = np.arange(len(owner)) - head[owner]
+        start = (np.cumsum(sizes) - sizes)[owner] + nth * BLOCK
+        length = np.minimum(BLOCK, sizes[owner] - nth * BLOCK)
+        # All blocks from the root, the longest first.
         order = np.argsort(-length, kind="stable")
-        owner, start, length = owner[order], start[order], length[order]
-        flat = np.concatenate(texts)
-        roots = np.array(self.roots, np.int32)[:, None]
-        state = np.repeat(roots, len(owner), axis=1)
-        count = np.zeros(state.shape, np.int32)
-        active = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right")
+        s, state = start[order], np.repeat(roots, len(owner), axis=1)
+        count = np.zeros(state.shape, np.int64)
+        active = np.searchsorted(-length[order], -np.arange(1, length.max() + 1), side="right")
         for t, k in enumerate(active):
-            entry = self.table[state[:, :k] + flat[start[:k] + t]]
-            count[:, :k] += entry & 3
-            state[:, :k] = entry >> 2
-        count += state != roots
-        for i in range(len(self.langs)):
-            out[:, i] = np.bincount(owner, weights=count[i], minlength=len(texts))
-        return out
+            state[:, :k], ended = self._step(state[:, :k], flat[s[:k] + t])
+            count[:, :k] += ended
+        end, phrase = np.empty_like(state), np.empty_like(count)
+        end[:, order], phrase[:, order] = state, count
+        # The second, third, ... block of each text once more from the true state, until both parses are in one state.
+        for j in range(1, int(parts.max())):
+            block = head[parts > j] + j
+            true, from_root = end[:, block - 1], np.repeat(roots, len(block), axis=1)
+            fixed, met = np.zeros(true.shape, np.int64), np.zeros(len(block), np.int64)
+            still, a, b = np.arange(len(block)), true.copy(), from_root
+            for t in range(int(length[block].max())):
+                still = still[(length[block[still]] > t) & (a[:, still] != b[:, still]).any(0)]
+                if not len(still):
+                    break
+                symbol = flat[start[block[still]] + t]
+                a[:, still], more = self._step(a[:, still], symbol)
+                b[:, still], less = self._step(b[:, still], symbol)
+                fixed[:, still] += more - less
+                met[still] = t + 1
+            phrase[:, block] += fixed
+            # A block that ended before both parses met ends in the true one's state.
+            open_ = np.flatnonzero((met == length[block]) & (a != b).any(0))
+            end[:, block[open_]] = a[:, open_]
+        last = head + parts - 1
+        phrase[:, last[sizes > 0]] += end[:, last[sizes > 0]] != roots
+        return np.stack([np.bincount(owner, weights=p, minlength=len(texts)) for p in phrase], axis=1).astype(np.int64)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs, scores = [], []
@@ -166,12 +194,12 @@ class Parser:
         while i < len(texts):
             batch, size = [], 0
             while i < len(texts) and (not batch or size < SLICE):
-                batch.append(self.codes(texts[i] or ""))
-                size += len(batch[-1][0])
+                batch.append(symbols(texts[i] or ""))
+                size += len(batch[-1])
                 i += 1
-            cost = self.phrases([c for c, _ in batch]) * self.bits
-            for (_, letters), row in zip(batch, cost):
-                if not letters or not self.langs:
+            cost = self.phrases(batch) * self.bits
+            for own, row in zip(batch, cost):
+                if not own or not self.langs:
                     langs.append("und")
                     scores.append(0.0)
                     continue
@@ -185,7 +213,7 @@ class Parser:
 def identify(docs: DataFrame, learn_from: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``id_col`` and columns lang_pred, score for every row of ``docs``, learned from ``learn_from`` only."""
     spark = docs.sparkSession
-    # At most MAX_LANGUAGES automata of at most 2 * TRAIN_CHARS states: the table's size is bounded.
+    # Automata of at most 2 * TOTAL_BYTES states together, as wide as the bytes in use: the table's size is bounded.
     model = spark.sparkContext.broadcast(Parser(training_sample(learn_from, text_col, lang_col, id_col)))
     id_type = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(_predictor(model), f"`{id_col}` {id_type}, lang_pred string, score double")
