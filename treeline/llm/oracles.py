@@ -6,7 +6,7 @@ none: they iterate, learn or need positions of matches; tests hold them against
 
 from __future__ import annotations
 
-from .url_filters import HOST_RULES, PATTERNS
+from .url_filters import HOST_RULES, PATTERNS, expression
 
 _URL = """
 WITH u AS (SELECT page_id, CASE WHEN url IS NOT NULL AND position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
@@ -17,7 +17,7 @@ p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGH
 
 def _op3() -> str:
     rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in HOST_RULES)
-    loose = "CASE " + " ".join(f"WHEN regexp_matches(host || path, '{pattern}') THEN '{name}'" for name, pattern, _ in sorted(PATTERNS)) + " END"
+    loose = "CASE " + " ".join(f"WHEN regexp_matches(host || path, '{expression(p)}') THEN '{p}'" for p in sorted(PATTERNS)) + " END"
     return _URL + f"""
 r(rh, rp, v) AS (VALUES {rules}),
 f AS (SELECT page_id, host, path, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS v

@@ -1,14 +1,16 @@
 """Operator 3: URL filters indexed by their rarest literal token.
 
-A rule is a regular expression with the tokens that any URL it fits must hold. The operator counts
+A rule is a pattern over host and path, from which its regular expression and its literal tokens - whole runs of
+letters, digits, ``_``, ``%`` and ``-`` that any fitting URL must hold - are derived. The operator counts
 tokens over all URLs, files each rule under its rarest token, joins URL tokens to that index and
-runs a rule's expression only on the URLs that hold its token. Host tokens (``h:`` and a label) and
-path tokens (``p:`` and a segment) are kept apart.
-
-Of fitting rules with a priority (contract rules: the length of host and path) the highest wins,
-then the smallest rule; without one any fitting pattern decides: block if one blocks. A null URL or one without
-``://`` has an empty host and path, fits nothing and is allowed. Repeated rows are judged one by
-one. An empty table gives an empty result.
+runs a rule's expression only on the URLs that hold its token. A rule without such a token is filed under a token that
+every URL has, so it is tried on all.
+
+Of fitting rules with a rank (contract rules: the length of host and path) the highest wins,
+then the smallest rule; without one any fitting pattern decides: block if one blocks, then the smallest name. Rules may share a name; each
+counts. A pattern that is no regular expression is an error (``ValueError`` for rules in a list). A null URL or one without
+``://`` has an empty host and path, fits no contract rule and is allowed unless a pattern fits the empty string. URLs of any length are judged whole. Repeated rows are judged one by
+one, null ids too; other columns, whatever their names, are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,14 +25,11 @@ from .common import ascii_lower, cut
 
 #: The (host, path) rules of the contract, path from its first slash.
 HOST_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
-#: The method's own patterns, over host + path, each with the tokens it needs. Block only.
-PATTERNS = [
-    ("ads-track label", r"^([^/]*\.)?ads-track\.[^/]*(/|$)", ["h:ads-track"]),
-    ("adserver label", r"^([^/]*\.)?adserver\.[^/]*(/|$)", ["h:adserver"]),
-    ("ads folder", r"^[^/]*/([^/]*/)*ads/", ["p:ads"]),
-    ("banners folder", r"^[^/]*/([^/]*/)*banners/", ["p:banners"]),
-    ("login page", r"^[^/]*/login(/|$)", ["p:login"]),
-]
+#: The method's own patterns (block only). ``||`` is the start of a host label, ``^`` a slash or the end, ``*`` any characters.
+PATTERNS = ["||ads-track.", "||adserver.", "/ads/", "/banners/", "/login^"]
+_TOKEN = "A-Za-z0-9_%-"
+#: The token that every URL has.
+ANY = "*"
 #: Rules in an index that is broadcast; a larger one is joined by a shuffle.
 BROADCAST_RULES = 50_000
 
@@ -42,46 +41,63 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return ascii_lower(host), F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
 
 
-def host_rule(host: str, path: str, verdict: str) -> dict:
-    """A rule of the contract as an expression over host + path. A last path segment may be cut short, so it is no token."""
-    tokens = [f"h:{x}" for x in host.split(".")] + [f"p:{x}" for x in path.split("/")[1:-1] if x]
-    return {"rule": host + path, "verdict": verdict, "pattern": rf"(?s)^([^/]*\.)?{re.escape(host)}{re.escape(path)}", "tokens": tokens, "rank": len(host + path)}
+def literal_tokens(pattern: str) -> list[str]:
+    """Whole tokens of a pattern: runs that no character beside them in a URL can extend."""
+    inner = pattern.removeprefix("||")
+    begun = " " if inner != pattern else ANY
+    return sorted(set(re.findall(rf"(?<![{_TOKEN}*])[{_TOKEN}]+(?![{_TOKEN}*])", f"{begun}{inner}{ANY}")))
+
+
+def expression(pattern: str) -> str:
+    """The pattern as a regular expression over host and path."""
+    inner = pattern.removeprefix("||")
+    body = "".join({"*": ".*", "^": "(/|$)"}.get(c) or re.escape(c) for c in inner)
+    return (r"(?s)^([^/]*\.)?" if inner != pattern else "(?s)") + body
+
+
+def rule(pattern: str, verdict: str = "block", name: str | None = None, rank: int = 0) -> dict:
+    """A rule of ``judge``; rank 0 marks the method's patterns."""
+    return {"rule": pattern if name is None else name, "verdict": verdict, "pattern": expression(pattern), "tokens": literal_tokens(pattern), "rank": rank}
 
 
 def default_rules() -> list[dict]:
-    own = [{"rule": name, "verdict": "block", "pattern": pattern, "tokens": tokens, "rank": 0} for name, pattern, tokens in PATTERNS]
-    return [host_rule(*x) for x in HOST_RULES] + own
+    firm = [rule(f"||{host}{path}", verdict, host + path, len(host + path)) for host, path, verdict in HOST_RULES]
+    return firm + [rule(p) for p in PATTERNS]
 
 
 def judge(pages: DataFrame, rules: list[dict] | DataFrame | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Columns page_id, host, path, rule, verdict, pattern_rule.
 
-    ``rules``: rows of rule, verdict, pattern, tokens, rank; rank 0 marks the method's patterns.
+    ``rules``: rows of rule, verdict, pattern (a regular expression), tokens, rank; ``rule`` makes one of a pattern.
     """
     spark = pages.sparkSession
     if not isinstance(rules, DataFrame):
-        rules = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(default_rules() if rules is None else rules)), "array<struct<rule:string,verdict:string,pattern:string,tokens:array<string>,rank:int>>")))
+        rules = default_rules() if rules is None else rules
+        for r in rules:
+            try:
+                re.compile(r["pattern"])
+            except re.error as e:
+                raise ValueError(f"the pattern of rule {r['rule']!r}: {e}") from e
+        rules = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rules)), "array<struct<rule:string,verdict:string,pattern:string,tokens:array<string>,rank:int>>")))
     url = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     host, path = host_and_path(F.col("url"))
     url = url.select("page_id", host.alias("host"), path.alias("path"))
-    labels = F.transform(F.split("host", r"\."), lambda x: F.concat(F.lit("h:"), x))
-    segments = F.transform(F.filter(F.split("path", "/"), lambda x: x != ""), lambda x: F.concat(F.lit("p:"), x))
-    held = F.array_distinct(F.concat(labels, segments))
+    held = F.array_distinct(F.filter(F.split(F.concat_ws("/", "host", "path"), f"[^{_TOKEN}]+"), lambda x: x != ""))
 
-    literal = rules.select("rule", F.explode("tokens").alias("token"))
+    whole = ["rule", "verdict", "pattern", "rank"]
+    tokens = F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit(ANY)))
+    literal = rules.select(*whole, F.explode(tokens).alias("token")).distinct()
     # Only tokens of rules are counted: the counts are as many as the rules' tokens.
-    n_rules = rules.count()
-    small = n_rules <= BROADCAST_RULES
-    index_tokens = literal.select("token").distinct()
+    small = rules.count() <= BROADCAST_RULES
     at = F.broadcast if small else lambda x: x
-    counts = url.select(F.explode(held).alias("token")).join(at(index_tokens), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
-    rarest = literal.join(counts, "token", "left").groupBy("rule").agg(
-        F.min(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "token")).alias("least")).select("rule", F.col("least.token").alias("token"))
-    index = cut(rules.join(rarest, "rule").select("token", "rule", "verdict", "pattern", "rank"))
+    counts = url.select(F.explode(held).alias("token")).join(at(literal.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
+    index = cut(literal.join(counts, "token", "left").groupBy(*whole).agg(F.min(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "token")).alias("least")).select(
+        *whole, F.col("least.token").alias("token")))
 
     # One row without a token stands for each page, so pages without candidates and repeated rows are kept.
-    tokens = F.concat(F.array(F.lit(None).cast("string")), held)
+    tokens = F.concat(F.array(F.lit(None).cast("string"), F.lit(ANY)), held)
     fetched = url.select("page_id", "host", "path", F.explode(tokens).alias("token")).join(at(index), "token", "left")
+    fetched = fetched.where(F.col("token").isNull() | F.col("pattern").isNotNull())
     fits = F.col("pattern").isNotNull() & F.rlike(F.concat("host", "path"), F.col("pattern"))
     judged = fetched.select(
         "page_id", "host", "path", F.col("token").isNull().alias("page"),
