@@ -2,14 +2,15 @@
 
 Rows are dealt to shards of about ``SHARD_ROWS`` by a hash of their id; each shard's tree is built
 once and kept as one row of the index (a checkpoint in the shared folder, so a lost executor loses
-no index). Queries go through all trees in blocks of ``QUERY_BLOCK``: a block is broadcast, its
-size is fixed. A node is left out for a query if the triangle inequality puts all its points
+no index). Queries go through all trees in blocks of ``QUERY_BLOCK``: a block is one row, which is dealt to
+each shard by a join on the shard, so one plan answers all blocks and the driver holds none. A node is left out for a query if the triangle inequality puts all its points
 beyond ``tau / factor``, tau being the query's tenth nearest so far; factor 1 is exact, a larger one
 searches less. The shards' answers (k a query and shard) are merged by rank.
 
 Distances are summed in double precision over the components in order. Null ids, null vectors,
 zero vectors, vectors holding null or non-finite components or with another length than most take
-no part. Ties go to the smaller id; repeated ids count one by one, a query's own id is no candidate.
+no part. Ties go to the smaller id; repeated ids count one by one, as candidates and as queries (each gets k rows of its own);
+no row with a query's own id is a candidate. Other columns, whatever their names, are ignored.
 An empty table gives an empty result.
 """
 
@@ -133,45 +134,42 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, f
 
     Queries are the rows of ``queries``, or of ``vectors`` that ``query_condition`` (on vec_id) holds for.
     """
-    spark = vectors.sparkSession
     rows = usable(vectors, id_col, vec_col)
     total = rows.count()
     shards = max(1, -(-total // SHARD_ROWS))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int"))
     trees = cut(dealt.groupBy("shard").applyInArrow(_plant, "shard int, tree binary"))
     asked = usable(queries, id_col, vec_col) if queries is not None else rows.where(query_condition)
-    n = asked.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    asked = cut(asked.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))))
-    answers = None
-    for b in range(blocks):
-        own = asked.where(F.col("block") == b).select("vec_id", "v").toArrow()
-        if not own.num_rows:
-            continue
-        qid = own["vec_id"].to_numpy()
-        block = spark.sparkContext.broadcast((qid, np.array(own["v"].to_pylist(), float)))
-        part = trees.mapInArrow(_ask(block, k, factor), "query_id long, vec_id long, score double")
-        answers = part if answers is None else answers.unionByName(part)
-    if answers is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    asked = cut(asked.withColumn("query", F.monotonically_increasing_id()))
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    packs = asked.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks))).groupBy("block").applyInArrow(_pack, "block long, asked binary")
+    dealt = packs.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(trees, "shard").select("asked", "tree")
+    answers = dealt.mapInArrow(_ask(k, factor), "query long, query_id long, vec_id long, score double")
+    best = Window.partitionBy("query").orderBy("score", "vec_id")
     return answers.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _pack(group: pa.Table) -> pa.Table:
+    """The queries of a block as one row."""
+    asked = (group["query"].to_numpy(), group["vec_id"].to_numpy(), np.array(group["v"].to_pylist(), float))
+    return pa.table({"block": group["block"].slice(0, 1), "asked": pa.array([pickle.dumps(asked, 5)], pa.binary())})
+
+
 def _plant(group: pa.Table) -> pa.Table:
     x = np.array(group["v"].to_pylist(), float)
     tree = Tree(group["vec_id"].to_numpy(), x)
     return pa.table({"shard": group["shard"].slice(0, 1), "tree": pa.array([pickle.dumps(tree, 5)], pa.binary())})
 
 
-def _ask(block, k: int, factor: float):
+def _ask(k: int, factor: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid, q = block.value
         for b in batches:
-            for blob in b.column(b.schema.names.index("tree")):
-                names, found = pickle.loads(blob.as_buffer()).search(qid, q, k, factor)
+            for asked, tree in zip(b.column(0), b.column(1)):
+                query, qid, q = pickle.loads(asked.as_buffer())
+                names, found = pickle.loads(tree.as_buffer()).search(qid, q, k, factor)
                 ok = np.isfinite(found)
+                n = ok.sum(1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(qid, ok.sum(1))), pa.array(names[ok]), pa.array(found[ok])], names=["query_id", "vec_id", "score"])
+                    [pa.array(np.repeat(query, n)), pa.array(np.repeat(qid, n)), pa.array(names[ok]), pa.array(found[ok])], names=["query", "query_id", "vec_id", "score"])
 
     return run
