@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -127,6 +128,28 @@ def test_url_filters_odd(spark):
     assert url_filters.judge(pages).count() == len(rows) and url_filters.judge(pages.where("false")).count() == 0
 
 
+def test_url_rules_without_tokens_and_with_one_name(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/x.exe"), (2, "http://b.net/zip"), (3, "http://c.net/q"), (3, "http://c.net/q"), (4, None)], "page_id long, url string")
+    rules = [{"rule": "no token", "verdict": "block", "pattern": r"\.exe$", "tokens": [], "rank": 0}, url_filters.rule("/zip^", name="one"), url_filters.rule("/q^", name="one"), url_filters.rule("||c.net/", "allow", "firm", 3)]
+    got = sorted((r["page_id"], r["rule"], r["verdict"], r["pattern_rule"]) for r in url_filters.judge(pages, rules).collect())
+    assert got == [(1, None, "block", "no token"), (2, None, "block", "one"), (3, "firm", "allow", None), (3, "firm", "allow", None), (4, None, "allow", None)]
+    with pytest.raises(ValueError):
+        url_filters.judge(pages, [{"rule": "bad", "verdict": "block", "pattern": "(", "tokens": [], "rank": 0}])
+
+
+def test_url_rules_equal_trying_each_on_all(spark, sf):
+    """Every rule's expression on every page, without an index; tokens that rules need are held by all URLs they fit."""
+    rules = [*url_filters.default_rules(), *(url_filters.rule(p) for p in ("||a*", "/e", "s/^", "||*.org/e*n/", "-", "*"))]
+    want = Counter()
+    for r in run(spark, sf, "op3_url_filters")[["page_id", "host", "path"]].itertuples():
+        fit = [x for x in rules if re.search(x["pattern"], r.host + r.path)]
+        firm, loose = (sorted((x for x in fit if (x["rank"] > 0) == f), key=lambda x: (-x["rank"], x["verdict"] != "block" if not f else 0, x["rule"])) for f in (True, False))
+        want[r.page_id, firm[0]["rule"] if firm else None, (firm or loose or [{"verdict": "allow"}])[0]["verdict"], None if firm or not loose else loose[0]["rule"]] += 1
+    got = url_filters.judge(spark.read.parquet(f"{sf}/pages.parquet"), rules).collect()
+    assert Counter((r["page_id"], r["rule"], r["verdict"], r["pattern_rule"]) for r in got) == want
+    assert url_filters.literal_tokens("||ads-track.") == ["ads-track"] and url_filters.literal_tokens("/e") == [] and url_filters.literal_tokens("||a.b/c*") == ["a", "b"]
+
+
 def test_url_rules_by_shuffle(spark, sf, monkeypatch):
     want = run(spark, sf, "op3_url_filters")
     monkeypatch.setattr(url_filters, "BROADCAST_RULES", 0)
@@ -154,18 +177,40 @@ def test_suffix_automaton_holds_all_substrings():
     assert all(holds(x) == (x in subs) for k in range(1, 5) for x in itertools.product((1, 2, 3), repeat=k))
 
 
+def naive_phrases(rest, own):
+    n = 0
+    while rest:
+        k = max([j for j in range(1, min(len(rest), len(own)) + 1) if rest[:j] in own], default=1)
+        n, rest = n + 1, rest[k:]
+    return n
+
+
 def test_phrases_equal_a_naive_parse():
-    p = language_id.Parser({"x": "abab acab", "y": "bbbb cccc"})
-    for t in ("abacabx", "cbcbcb", "zz", "", "abab " * 700):
-        codes = p.codes(t)[0]
-        for i, train in enumerate(("abab acab", "bbbb cccc")):
-            own, n = p.codes(train)[0].tobytes(), 0
-            for at in range(0, len(codes), language_id.BLOCK):
-                rest = codes[at : at + language_id.BLOCK].tobytes()
-                while rest:
-                    k = max([j for j in range(1, min(len(rest), len(own)) + 1) if rest[:j] in own], default=1)
-                    n, rest = n + 1, rest[k:]
-            assert p.phrases([codes])[0, i] == n
+    """Whole texts, across the ends of blocks, with letters of several scripts."""
+    samples = {"x": ["abab acab"], "y": ["bbbb cccc", "dé"], "z": ["日本語 本日"]}
+    p = language_id.Parser(samples)
+    rnd = np.random.default_rng(3)
+    texts = ["abacabx", "cbcbcb", "zz", "", "abab " * 700, "日本 " * 900] + ["".join(rnd.choice(list("abc 日本é"), n)) for n in (50, 1500, 4000)]
+    coded = [language_id.symbols(t) for t in texts]
+    for i, own in enumerate(samples.values()):
+        train = language_id.symbols("\n".join([*own, ""]))
+        assert p.phrases(coded)[:, i].tolist() == [naive_phrases(c, train) for c in coded]
+
+
+def test_every_language_is_learned_and_ties_are_settled(spark):
+    letters = [chr(0x4E00 + i) for i in range(80)]
+    rows = [(i * 10 + k, f"{c} {c}{c} {c}", f"lang{i:02d}", "") for i, c in enumerate(letters) for k in range(2)]
+    rows += [(2000 + i, "same words", "q" if i < 300 else "p", "") for i in range(550)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, draw string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, docs).collect()}
+    assert all(got[i * 10] == f"lang{i:02d}" for i in range(80)) and got[2300] == "q"  # equal samples, more labelled rows
+    alike = docs.where("doc_id in (2000, 2300)")
+    assert {r["lang_pred"] for r in language_id.identify(alike, alike).collect()} == {"p"}  # the smaller name
+
+
+def test_long_texts_alone_are_learned(spark):
+    docs = spark.createDataFrame([(1, "un deux trois " * 2000, "fr"), (2, "one two three " * 2000, "en")], "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, docs).collect()} == {1: "fr", 2: "en"}
 
 
 def test_language_id(spark, sf, texts):
@@ -270,9 +315,21 @@ def test_bpe(spark, sf, texts, odd_docs, no_docs, tiktoken_own):
     assert bpe.encode_decode(no_docs, *queries.tokenizer()).count() == 0
 
 
+def test_late_letters_are_those_that_tiktoken_does_not_know():
+    """Each letter or digit of this Unicode version: known if it continues a piece that starts with one."""
+    import regex
+
+    tiktoken, pattern = pytest.importorskip("tiktoken"), queries.tokenizer()[1]
+    late = regex.findall(r"[\p{L}\p{N}]", "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) == "Cn"))
+    head = {c: "0" if regex.match(r"\p{N}", c) else "a" for c in late}
+    ranks = {bytes([i]): i for i in range(256)} | {(h + c).encode(): 256 + i for i, (c, h) in enumerate(head.items())}
+    probe = tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    assert {c for c, h in head.items() if len(probe.encode_ordinary(h + c)) > 1} == set(regex.findall(f"[{bpe.late_class()}]", "".join(late)))
+
+
 def test_bpe_on_hard_texts(tiktoken_own):
     path, pattern = queries.tokenizer()
-    coder = bpe.MergeReplay(bpe.read_ranks(path), pattern, bpe.unknown_to_tiktoken(pattern))
+    coder = bpe.MergeReplay(bpe.read_ranks(path), pattern, bpe.late_class())
     hard = ["a" * 5000, "abababab" * 50, " " * 300, "\n\n  \n x", "É" * 99, "0" * 1234, "", "don't we'll", "\U000323e7a \U00010ee7"]
     for t, ids in zip(hard, coder.encode(hard)):
         assert ids.tolist() == tiktoken_own.encode_ordinary(t) and coder.decode(ids) == t.encode()
@@ -352,6 +409,23 @@ def test_ann_odd_and_ties(spark):
     assert len(ann.nearest(vectors.where("vec_id in (0, 1)"), query_condition=F.col("vec_id") == 0).collect()) == 1
 
 
+def test_ann_with_many_shards_and_blocks(spark, monkeypatch):
+    """Several trees and query blocks, repeated query rows among them, equal brute force; one plan whatever the blocks."""
+    rnd = np.random.default_rng(4)
+    x = rnd.integers(-3, 4, (400, 3)).astype(float) + 0.5
+    rows = [(i, x[i].tolist()) for i in range(400)] + [(40, [9.0, 9.0, 9.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "SHARD_ROWS", 60)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 7)
+    want = Counter()
+    for i, v in rows:
+        if i % 10 == 0:
+            d = sorted((float(np.sqrt(((np.array(v) - np.array(w)) ** 2).sum())), j) for j, w in rows if j != i)[:4]
+            want.update((i, k + 1, j, round(s, 9)) for k, (s, j) in enumerate(d))
+    got = ann.nearest(vectors, k=4, query_condition=F.col("vec_id") % 10 == 0).collect()
+    assert Counter((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in got) == want
+
+
 def test_ann_factor_trades_recall():
     rnd = np.random.default_rng(1)
     x = rnd.normal(size=(3000, 8))
@@ -396,10 +470,11 @@ def test_jaccard_odd(odd_docs, no_docs):
     assert ngram_jaccard.jaccard_classes(no_docs).count() == 0
 
 
-@pytest.mark.parametrize("hot, tile", [(64, 2048), (2, 8)])
+@pytest.mark.parametrize("hot, tile", [(64, 2048), (2, 8), (0, 3)])
 def test_jaccard_with_hot_passages_and_tiles(spark, monkeypatch, hot, tile):
     """Many near copies and a passage in most documents, with limits so low that tokens are hot and tiles many."""
     monkeypatch.setattr(ngram_jaccard, "TILE_ROWS", tile)
+    monkeypatch.setattr(ngram_jaccard, "BRANCH", 3)
     rnd = np.random.default_rng(2)
     word = lambda: f"w{rnd.integers(0, 500)}"
     passage = [word() for _ in range(30)]

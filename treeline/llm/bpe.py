@@ -17,7 +17,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -29,6 +28,13 @@ from pyspark.sql import DataFrame
 #: Characters of text whose pieces are merged together.
 SLICE = 5_000_000
 _NONE = np.int32(1 << 30)
+#: Code points of letters and digits (first-last, hexadecimal) that tiktoken 0.x, built on an older Unicode, takes for neither.
+LATE = """
+558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a
+11db0-11ddb 11de0-11de9 11df1 1246f 12475-1247f 12550-12686 16ea0-16eb8 16ebb-16ed3 16ff2-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20
+18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2
+1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f
+"""
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -36,28 +42,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def unknown_to_tiktoken(pattern: str) -> str:
-    """A character class (without brackets) of the letters and digits of this Unicode version that the installed tiktoken, being older, does not know yet.
-
-    Every one is asked for: it is known if it continues a piece that starts with a letter or digit.
-    Without the library none is assumed.
-    """
-    try:
-        import tiktoken
-    except ImportError:
-        return ""
-    late = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) == "Cn"]
-    late = regex.findall(r"[\p{L}\p{N}]", "".join(late))
-    head = {c: "0" if regex.match(r"\p{N}", c) else "a" for c in late}
-    ranks = {bytes([i]): i for i in range(256)} | {(h + c).encode(): 256 + i for i, (c, h) in enumerate(head.items())}
-    probe = tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    runs: list[list[int]] = []
-    for point in sorted(ord(c) for c, h in head.items() if len(probe.encode_ordinary(h + c)) > 1):
-        if runs and runs[-1][1] == point - 1:
-            runs[-1][1] = point
-        else:
-            runs.append([point, point])
-    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
+def late_class() -> str:
+    """``LATE`` as a character class without its brackets."""
+    runs = [x.split("-") for x in LATE.split()]
+    return "".join(rf"\U{int(r[0], 16):08x}-\U{int(r[-1], 16):08x}" for r in runs)
 
 
 class MergeReplay:
@@ -193,7 +181,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
 
     ``path`` is read on the driver; the vocabulary (its size is fixed by the file) is broadcast.
     """
-    model = docs.sparkSession.sparkContext.broadcast((read_ranks(path), pattern, unknown_to_tiktoken(pattern)))
+    model = docs.sparkSession.sparkContext.broadcast((read_ranks(path), pattern, late_class()))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
