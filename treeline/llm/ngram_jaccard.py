@@ -1,25 +1,36 @@
-"""Operator 10: exact n-gram Jaccard join with count-vector R-trees.
+"""Operator 10: n-gram Jaccard join with count-vector R-trees.
 
 A document is the set of its distinct word shingles, as 64-bit hashes. Hashing shingles into groups
 makes a document a point, its count in each group; the summed minima of two points' coordinates
 bound the overlap of the sets from above, so pairs whose bound falls short need no verification.
 
 An R-tree over such points alone compares any two documents of like size, because random texts of
-like length have like counts: pairs grow with the square of the corpus. So the token space is
-first divided by hash value. Every document posts the tokens of a *low* range (a third or so of its
+like length have like counts: pairs grow with the square of the corpus, however many groups there
+are (README has figures for 16 to 1,024). So the token space is first divided by hash value. Every document posts the tokens of a *low* range (a third or so of its
 set); a low token held by 2 to ``HOT`` different sets gives candidate pairs, whose number of common
 low tokens is the first coordinate, known exactly. A token in more sets than that is *hot* and gives
 none. By prefix filtering every link is found that way if one of its documents has enough low
-tokens that are not hot (``safe``). Documents that have not - passages or copies in many documents
-make up much of them - are joined with each other by R-trees: tiles by size, leaves by counts, node
-bounds, point bounds, verification. All bounds are exact; no link is lost, and no cap drops anything.
+tokens that are not hot (``safe``).
+
+Documents that have not - passages or copies in many documents make up much of them - are joined
+with each other by one R-tree over their points. Sets that share a least hash are first compared with
+one of them, which joins most members of a family of near copies in work that grows with the family.
+The tree is packed in the order of component and size, so that most nodes hold one component. Its
+levels are tables; pairs of nodes are expanded level by level unless their boxes, their sizes or a
+component that both consist of rule a link out. Of surviving pairs of points those with the best bound
+for two components are verified first; once these have merged, all others that are left. Work grows with
+the pairs of nodes that survive. All bounds are exact; no link between components is lost, and no cap drops anything.
 
 Documents with equal sets form a class and are handled once. A token's postings are combined in
 each task first, so a passage in a third of all documents sends few rows to the task of its tokens.
-Tiles have a bounded number of tokens; members of one component are not compared again.
+
+Words and shingles are compared by 64-bit hashes, not by their characters: two unlike shingles of a
+pair pass for one with a chance of about size^2 / 2^64.
 
 Null texts and texts without words have an empty set and are linked with nothing. Repeated rows
-have equal sets. An empty table gives an empty result.
+have equal sets, and null ids never name a component. A document of any length is one set; a link is
+not transitive in itself, its components are, and ties in size or bound decide nothing. An empty table gives an empty
+result. Columns beyond id and text, whatever their names, are ignored, or kept by ``keep_first``.
 """
 
 from __future__ import annotations
@@ -31,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop, written
 from .components import components
 
 SHINGLE = 5
@@ -39,14 +50,14 @@ SHINGLE = 5
 NUM, DEN = 75, 100
 #: Sets that share a token up to which all their pairs are candidates.
 HOT = 64
-#: Groups into which tokens are hashed.
-GROUPS = 16
-#: A tile's bounds, rows in a leaf.
-TILE_ROWS, TILE_TOKENS, LEAF_ROWS = 2_048, 1_500_000, 32
+#: Groups into which tokens are hashed, for pairs that share a low token and for points of the R-tree.
+GROUPS, POINT = 16, 256
+#: Sets in a node of the tree's lowest table and in a leaf inside it, nodes below a node above, sets of a side verified together.
+TILE_ROWS, LEAF_ROWS, BRANCH, BLOCK_ROWS = 256, 32, 32, 128
+#: Least hashes by which sets meet the first one of their family.
+SKETCHES = 4
 SLICE = 1_500_000
 
-_P = np.uint64(0x9E3779B97F4A7C15)
-_PINV = np.uint64(pow(int(_P), -1, 1 << 64))
 _WORD = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -57,12 +68,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(base: np.uint64, n: int) -> np.ndarray:
-    """base^0 to base^(n - 1), modulo 2^64, as products of two short tables."""
-    step = 4_096
-    low = np.cumprod(np.r_[np.uint64(1), np.full(step - 1, base, np.uint64)], dtype=np.uint64)
-    high = np.cumprod(np.r_[np.uint64(1), np.full(n // step, low[-1] * base, np.uint64)], dtype=np.uint64)
-    return (high[:, None] * low[None, :]).ravel()[:n]
+#: One 64-bit value for each byte at each of the first places of a word.
+_PLACES = 64
+_BYTE = _mixed(np.arange(1, _PLACES * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -74,9 +82,20 @@ def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     space = (buf == 32) | ((buf >= 9) & (buf <= 13))
     edge = np.diff(np.r_[True, space, True].astype(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    total = np.r_[np.uint64(0), np.cumsum(buf * _power(_P, len(buf)), dtype=np.uint64)]
-    word = _mixed((total[end] - total[start]) * _power(_PINV, len(buf) + 1)[start] + (end - start).astype(np.uint64))
-    del total
+    # A word's hash is a sum of one value for each byte and its place.
+    own = np.flatnonzero(~space)
+    length = end - start
+    place = np.arange(len(own)) - np.repeat(np.cumsum(length) - length, length)
+    key = (place << 8) | buf[own]
+    near = place < _PLACES
+    value = _BYTE[np.where(near, key, 0)]
+    if not near.all():
+        far = ~near
+        value[far] = _mixed((key[far] + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    total = np.r_[np.uint64(0), np.cumsum(value, dtype=np.uint64)]
+    tail = np.cumsum(length)
+    word = _mixed(total[tail] - total[tail - length] + length.astype(np.uint64))
+    del total, value, key, place
     ends = np.cumsum(sizes)
     words = np.diff(np.r_[0, np.searchsorted(start, ends)])
     first = np.cumsum(words) - words
@@ -244,13 +263,16 @@ def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | Non
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, sig, n, tokens) of texts."""
+    """(doc_id, thick, sig, n, tokens) of (doc_id, text, thick); of repeated rows in a batch one."""
     for b in batches:
         for part, texts in slices(b, 1):
             tokens, n = shingle_sets(texts)
             ends = np.cumsum(n)
             blobs = [tokens[e - k : e].tobytes() for e, k in zip(ends.tolist(), n.tolist())]
-            yield pa.RecordBatch.from_arrays([part.column(0), _signed(signature(tokens, n)), pa.array(n.astype(np.int64)), pa.array(blobs, pa.binary())], names=["doc_id", "sig", "n", "tokens"])
+            sig = signature(tokens, n)
+            rows = np.stack([part.column(0).to_numpy(zero_copy_only=False), sig.view(np.int64), n.astype(np.int64)])
+            once = np.unique(rows, axis=1, return_index=True)[1]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), _signed(sig), pa.array(n.astype(np.int64)), pa.array(blobs, pa.binary())], names=["doc_id", "thick", "sig", "n", "tokens"]).take(pa.array(once))
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -271,44 +293,193 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["ra", "rb"]).filter(pa.array(keep, pa.bool_()))
 
 
-class RTree:
-    """Leaves of LEAF_ROWS points sorted by size and counts, with the box of each: the upper corner and the least size."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
-        self.n = np.array([len(s) for s in sets], np.int64)
-        self.point = np.stack([np.bincount((s % np.uint64(2 * GROUPS)).astype(np.int64), minlength=2 * GROUPS) for s in sets]) if sets else np.zeros((0, 2 * GROUPS), np.int64)
-        order = np.lexsort((self.point[:, 1], self.point[:, 0], self.n))
-        self.leaves = [order[i : i + LEAF_ROWS] for i in range(0, len(order), LEAF_ROWS)]
-        self.upper = np.array([self.point[x].max(0) for x in self.leaves])
-        self.least = np.array([self.n[x].min() for x in self.leaves])
-
-    def reaches(self, bound, na, nb):
-        """Whether an overlap bound allows a link, given (least) sizes."""
-        return (NUM + DEN) * bound >= NUM * (na + nb)
-
-    def join(self, other: "RTree") -> Iterator[tuple[int, int]]:
-        """Pairs of points whose bound allows a link; with itself each pair once."""
-        for i, own in enumerate(self.leaves):
-            start = i if other is self else 0
-            bound = np.minimum(self.upper[i], other.upper[start:]).sum(1)
-            for j in (np.flatnonzero(self.reaches(bound, self.least[i], other.least[start:])) + start).tolist():
-                theirs = other.leaves[j]
-                least = np.minimum(self.point[own][:, None], other.point[theirs][None]).sum(2)
-                na, nb = self.n[own][:, None], other.n[theirs][None]
-                ok = self.reaches(least, na, nb) & alike_in_size(na, nb)
-                if other is self and i == j:
-                    ok = np.triu(ok, 1)
-                x, y = np.nonzero(ok)
-                yield from zip(own[x].tolist(), theirs[y].tolist())
-
-
-def _joined(group: pa.Table) -> pa.Table:
-    """Links between the two sides of a pair of tiles, enough to connect what they connect."""
-    sets = [np.frombuffer(t.as_buffer(), np.uint64) for c in group["tokens"].chunks for t in c]
-    rep, side, known = (group[c].to_pylist() for c in ("rep", "side", "component"))
-    parts = [[i for i in range(len(rep)) if side[i] == s] for s in (0, 1)]
-    trees = [RTree([sets[i] for i in p]) for p in parts]
+def points(tokens: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Counts of each set's tokens in ``POINT`` groups, a row a set."""
+    owner = np.repeat(np.arange(len(n)), n)
+    return np.bincount(owner * POINT + (tokens % np.uint64(POINT)).astype(np.int64), minlength=len(n) * POINT).reshape(len(n), POINT).astype(np.int32)
+
+
+class Node:
+    """Children of a node of the R-tree: boxes (greatest counts, least and greatest size) and the component that a child consists of (-1: several).
+
+    In the lowest table children are sets: points, whose component may be themselves.
+    """
+
+    def __init__(self, child, least, most, comp, corner):
+        self.child, self.least, self.most, self.comp, self.corner = child, least, most, comp, corner
+
+    @classmethod
+    def of(cls, row: dict) -> "Node":
+        child, least, most, comp = (np.array(row[c], np.int64) for c in ("child", "least", "most", "comp"))
+        return cls(child, least, most, comp, np.frombuffer(row["corner"], np.int32).reshape(len(child), -1))
+
+    def box(self) -> tuple[int, int, int, np.ndarray]:
+        """Least and greatest size, component and upper corner of all children."""
+        return int(self.least.min()), int(self.most.max()), int(self.comp[0]) if (self.comp == self.comp[0]).all() else -1, self.corner.max(0)
+
+    def part(self, s: slice) -> "Node":
+        return Node(self.child[s], self.least[s], self.most[s], self.comp[s], self.corner[s])
+
+    def pairs(self, other: "Node", proper: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Indices of children that may hold a link between components, and the bound on its overlap; with itself each pair once, pairs of a
+        child with itself only if not ``proper``."""
+        ok = (self.most[:, None] * DEN >= other.least[None] * NUM) & (other.most[None] * DEN >= self.least[:, None] * NUM)
+        ok &= (self.comp[:, None] != other.comp[None]) | (self.comp[:, None] < 0)
+        if other is self:
+            ok = np.triu(ok, 1 if proper else 0)
+        i, j = np.nonzero(ok)
+        bound = np.zeros(len(i), np.int64)
+        for at in range(0, len(i), 4_096):
+            s = slice(at, at + 4_096)
+            bound[s] = np.minimum(self.corner[i[s]], other.corner[j[s]]).sum(1)
+        keep = (NUM + DEN) * bound >= NUM * (self.least[i] + other.least[j])
+        return i[keep], j[keep], bound[keep]
+
+    def leaves(self) -> tuple["Node", list[slice]]:
+        """Runs of LEAF_ROWS children as nodes of their own."""
+        runs = [slice(at, at + LEAF_ROWS) for at in range(0, len(self.child), LEAF_ROWS)]
+        boxes = [self.part(s).box() for s in runs]
+        least, most, comp = (np.array(x, np.int64) for x in list(zip(*boxes))[:3])
+        return Node(np.arange(len(runs)), least, most, comp, np.stack([x[3] for x in boxes])), runs
+
+    def join(self, other: "Node") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Indices and bounds of all pairs of points that survive, by way of the leaves."""
+        (top, runs), (far, theirs) = self.leaves(), other.leaves()
+        far = top if other is self else far
+        out = [np.zeros((3, 0), np.int64)]
+        for x, y in zip(*top.pairs(far, False)[:2]):
+            a = self.part(runs[x])
+            b = a if other is self and x == y else other.part(theirs[y])
+            i, j, bound = a.pairs(b, True)
+            out.append(np.stack([i + runs[x].start, j + theirs[y].start, bound]))
+        return tuple(np.concatenate(out, axis=1))
+
+
+_NODE = "id long, child array<long>, least array<int>, most array<int>, comp array<long>, corner binary"
+
+
+def _node_row(id_: int, node: Node) -> pa.Table:
+    one = lambda x, t: pa.array([x.tolist()], pa.list_(t))
+    return pa.table({"id": pa.array([id_], pa.int64()), "child": one(node.child, pa.int64()), "least": one(node.least, pa.int32()), "most": one(node.most, pa.int32()),
+                     "comp": one(node.comp, pa.int64()), "corner": pa.array([np.ascontiguousarray(node.corner, np.int32).tobytes()], pa.binary())})
+
+
+def _boxed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The box of each node as a child of the level above."""
+    for b in batches:
+        for row in b.to_pylist():
+            least, most, comp, corner = Node.of(row).box()
+            yield pa.RecordBatch.from_pylist([{"id": row["id"], "least": least, "most": most, "comp": comp, "corner": corner.tobytes()}], schema=pa.schema(
+                [("id", pa.int64()), ("least", pa.int32()), ("most", pa.int32()), ("comp", pa.int64()), ("corner", pa.binary())]))
+
+
+def _packed(group: pa.Table) -> pa.Table:
+    """One node of the children (up, id, least, most, comp, corner), in the order of their ids."""
+    group = group.sort_by("at" if "at" in group.column_names else "id")
+    corner = np.frombuffer(b"".join(group["corner"].to_pylist()), np.int32).reshape(group.num_rows, -1)
+    return _node_row(group["up"][0].as_py(), Node(*(group[c].to_numpy() for c in ("id", "least", "most", "comp")), corner))
+
+
+def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, n, component, corner) of (rep, n, component, tokens)."""
+    for b in batches:
+        for at in range(0, b.num_rows, 256):
+            part = b.slice(at, 256)
+            blobs = part.column(3).to_pylist()
+            n = np.array([len(x) // 8 for x in blobs], np.int64)
+            corner = points(np.frombuffer(b"".join(blobs), np.uint64), n)
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([x.tobytes() for x in corner], pa.binary())], names=["rep", "n", "component", "corner"])
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, rep, n): the least hash of each set under each of SKETCHES functions."""
+    for b in batches:
+        blobs = b.column(2).to_pylist()
+        n = np.array([len(x) // 8 for x in blobs], np.int64)
+        tokens = np.frombuffer(b"".join(blobs), np.uint64)
+        for k in range(SKETCHES):
+            least = np.minimum.reduceat(_mixed(tokens ^ _mixed(np.array([k + 1], np.uint64))), np.cumsum(n) - n) if len(n) else tokens
+            yield pa.RecordBatch.from_arrays([_signed(_mixed(least + np.uint64(k))), b.column(0), b.column(1)], names=["key", "rep", "n"])
+
+
+def _family_pairs(dense: DataFrame) -> DataFrame:
+    """Pairs (ra, rb) of sets with the first set of those that share a least hash; as many as sets and functions."""
+    keys = dense.select("rep", "n", "tokens").mapInArrow(_sketches, "key long, rep long, n long")
+    first = keys.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    met = keys.join(first, "key").select(F.col("rep").alias("ra"), F.col("f.rep").alias("rb"), "n", F.col("f.n").alias("m"))
+    like = (F.least("n", "m") * DEN >= F.greatest("n", "m") * NUM) & (F.col("ra") != F.col("rb"))
+    return met.where(like).select("ra", "rb").distinct()
+
+
+def _levels(dense: DataFrame, found: DataFrame) -> list[DataFrame]:
+    """Tables of the R-tree over sets (rep, n, tokens) with their components, from the lowest to the root; ids of each run from 0."""
+    known = dense.select("rep", "n", "tokens").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", "component", "tokens")
+    placed = known.mapInArrow(_points, "rep long, n long, component long, corner binary")
+    order = [F.col("component").asc_nulls_last(), F.col("n"), F.col("rep")]
+    sorted_ = written(placed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
+    # One row a partition: the rows before it make places gapless.
+    part = F.shiftright("at", 33)
+    counts = {r["p"]: r["count"] for r in sorted_.groupBy(part.alias("p")).count().collect()}
+    before, rows = [], 0
+    for p in range(max(counts, default=-1) + 1):
+        before.append(rows)
+        rows += counts.get(p, 0)
+    place = F.element_at(F.array(*[F.lit(x).cast("long") for x in before or [0]]), part.cast("int") + 1) + F.col("at").bitwiseAND((1 << 33) - 1)
+    children = sorted_.select((F.floor(place / F.lit(TILE_ROWS))).alias("up"), place.alias("at"), F.col("rep").alias("id"), F.col("n").cast("int").alias("least"), F.col("n").cast("int").alias("most"),
+                              F.coalesce("component", "rep").alias("comp"), "corner")
+    levels, nodes = [], -(-rows // TILE_ROWS)
+    levels.append(written(children.groupBy("up").applyInArrow(_packed, _NODE)))
+    drop(sorted_)
+    while nodes > 1:
+        boxes = levels[-1].mapInArrow(_boxed, "id long, least int, most int, comp long, corner binary").withColumn("up", F.floor(F.col("id") / F.lit(BRANCH)))
+        levels.append(written(boxes.groupBy("up").applyInArrow(_packed, _NODE)))
+        nodes = -(-nodes // BRANCH)
+    return levels
+
+
+def _pair_of(group: pa.Table) -> tuple[Node, Node]:
+    rows = {r["id"]: Node.of(r) for r in group.to_pylist()}
+    return rows[group["a"][0].as_py()], rows[group["b"][0].as_py()]
+
+
+def _expanded(group: pa.Table) -> pa.Table:
+    """Pairs (a, b) of children of a pair of nodes."""
+    x, y = _pair_of(group)
+    i, j, _ = x.pairs(y, False)
+    return pa.table({"a": x.child[i], "b": y.child[j]})
+
+
+_CANDIDATES = "a long, b long, u int, v int, ra long, rb long, ca long, cb long, rest int"
+
+
+def _best(group: pa.Table) -> pa.Table:
+    return _survivors(group, True)
+
+
+def _all(group: pa.Table) -> pa.Table:
+    return _survivors(group, False)
+
+
+def _survivors(group: pa.Table, best: bool) -> pa.Table:
+    """Pairs of sets of two nodes that survive the bounds: all, or the one with the best bound for two components and the number of others. u and v are blocks of sets."""
+    x, y = _pair_of(group)
+    i, j, bound = x.join(y)
+    rest = np.zeros(len(i), np.int32)
+    if best and len(i):
+        ca, cb = x.comp[i], y.comp[j]
+        order = np.lexsort((-bound, np.maximum(ca, cb), np.minimum(ca, cb)))
+        lo, hi = np.minimum(ca, cb)[order], np.maximum(ca, cb)[order]
+        first = np.flatnonzero(np.r_[True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
+        rest = (np.diff(np.r_[first, len(order)]) - 1).astype(np.int32)
+        i, j = i[order[first]], j[order[first]]
+    whole = lambda c: pa.array(np.full(len(i), group[c][0].as_py(), np.int64))
+    return pa.table({"a": whole("a"), "b": whole("b"), "u": pa.array((i // BLOCK_ROWS).astype(np.int32)), "v": pa.array((j // BLOCK_ROWS).astype(np.int32)),
+                     "ra": x.child[i], "rb": y.child[j], "ca": x.comp[i], "cb": y.comp[j], "rest": rest})
+
+
+def _verified_block(own: pa.Table, pairs: pa.Table) -> pa.Table:
+    """Links among candidate pairs of a block, enough to connect what they connect."""
+    tokens = {r: np.frombuffer(t, np.uint64) for r, t in zip(own["rep"].to_pylist(), own["tokens"].to_pylist())}
     root: dict = {}
 
     def find(x):
@@ -318,70 +489,35 @@ def _joined(group: pa.Table) -> pa.Table:
         return x
 
     out = []
-    alone = not parts[1]
-    for x, y in trees[0].join(trees[0] if alone else trees[1]):
-        i, j = parts[0][x], parts[0][y] if alone else parts[1][y]
-        a, b = find(known[i]), find(known[j])
-        if a != b and linked(overlap(sets[i], sets[j]), len(sets[i]), len(sets[j])):
-            root[a] = b
-            out.append((rep[i], rep[j]))
+    for ra, rb, ca, cb in zip(*(pairs[c].to_pylist() for c in ("ra", "rb", "ca", "cb"))):
+        p, q = find(ca), find(cb)
+        if p != q and linked(overlap(tokens[ra], tokens[rb]), len(tokens[ra]), len(tokens[rb])):
+            root[p] = q
+            out.append((ra, rb))
     return pa.table({"ra": pa.array([x for x, _ in out], pa.int64()), "rb": pa.array([y for _, y in out], pa.int64())})
 
 
-def _tiles(dense: DataFrame):
-    """Tiles of neighbouring sizes with bounded rows and tokens, from the histogram of sizes (its rows are distinct sizes, not sets).
+def _tree_links(dense: DataFrame, found: DataFrame, best: bool) -> tuple[DataFrame, bool]:
+    """Links (ra, rb) between different components of ``found`` by a walk down the R-tree over the dense sets: for each two components of two
+    nodes the best candidate, or all; and whether these were all."""
+    spark, levels = dense.sparkSession, _levels(dense, found)
+    pairs, old = spark.createDataFrame([(0, 0)], "a long, b long"), []
 
-    Returns a table (n, t, parts) - sets of size n are dealt to ``parts`` tiles from t on - and (least size, greatest size) of each tile.
-    """
-    sizes = dense.groupBy("n").count().orderBy("n").collect()
-    starts, tiles, rows, tokens = {}, [], 0, 0
-    for r in sizes:
-        n, k = r["n"], r["count"]
-        most = max(1, min(TILE_ROWS, TILE_TOKENS // max(1, n)))
-        if k > most:  # one size fills several tiles: dealt among them by hash
-            parts = -(-k // most)
-            starts[n] = (len(tiles), parts)
-            tiles += [(n, n)] * parts
-            rows = None
-            continue
-        if rows is None or not tiles or rows + k > TILE_ROWS or tokens + n * k > TILE_TOKENS:
-            tiles.append((n, n))
-            rows = tokens = 0
-        rows, tokens = rows + k, tokens + n * k
-        tiles[-1] = (tiles[-1][0], n)
-        starts[n] = (len(tiles) - 1, 1)
-    # One row a distinct size, so bounded by the longest document.
-    at = dense.sparkSession.createDataFrame([(n, t, parts) for n, (t, parts) in starts.items()], "n long, t int, parts int")
-    return F.broadcast(at), tiles
-
-
-def _tile_join(tiled: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
-    """Links found in the given pairs of tiles; ``tiled`` has rep, tokens, component, tile."""
-    where: dict[int, list[tuple[int, int]]] = {}
-    for p, (s, t) in enumerate(pairs):
-        where.setdefault(s, []).append((p, 0))
-        if t != s:
-            where.setdefault(t, []).append((p, 1))
-    spark = tiled.sparkSession
-    plan = spark.createDataFrame([(t, p, side) for t, xs in where.items() for p, side in xs], "tile int, pair int, side int")
-    return tiled.join(plan, "tile").select("pair", "rep", "side", "component", "tokens").groupBy("pair").applyInArrow(_joined, "ra long, rb long")
-
-
-def _dense_links(sets: DataFrame) -> DataFrame:
-    """Links among sets (rep, n, tokens), by R-trees over tiles: first within tiles and between neighbours, then between the other
-    tiles of like sizes, unless one component already holds both."""
-    at, tiles = _tiles(sets)
-    tiled = cut(sets.join(at, "n").select("rep", "n", "tokens", (F.col("t") + F.pmod(F.xxhash64("rep"), "parts")).cast("int").alias("tile")))
-    like = lambda s, t: tiles[s][1] * DEN >= tiles[t][0] * NUM
-    near = [(t, t) for t in range(len(tiles))] + [(t, t + 1) for t in range(len(tiles) - 1) if like(t, t + 1)]
-    links = cut(_tile_join(tiled.withColumn("component", F.col("rep")), near))
-    if len(tiles) < 3:
-        return links
-    found = components(links, "ra", "rb").withColumnRenamed("node", "rep")
-    tiled = cut(tiled.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
-    only = {r["tile"]: r["lo"] for r in tiled.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo = hi").collect()}
-    far = [(s, t) for s in range(len(tiles)) for t in range(s + 2, len(tiles)) if like(s, t) and not (s in only and only.get(t) == only[s])]
-    return links.unionByName(_tile_join(tiled, far)) if far else links
+    def beside(level):
+        ids = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("id"))
+        return ids.join(level, "id").groupBy("a", "b")
+
+    for level in reversed(levels[1:]):
+        pairs = written(beside(level).applyInArrow(_expanded, "a long, b long"))
+        old.append(pairs)
+    candidates = written(beside(levels[0]).applyInArrow(_best if best else _all, _CANDIDATES))
+    key = ["a", "b", "u", "v"]
+    block = [F.col(c).alias(f"k_{c}") for c in key]
+    needed = candidates.select(*block, F.explode(F.array("ra", "rb")).alias("rep")).distinct().join(dense.select("rep", "tokens"), "rep")
+    links = written(needed.groupBy(*[f"k_{c}" for c in key]).cogroup(candidates.groupBy(*key)).applyInArrow(_verified_block, "ra long, rb long"))
+    whole = candidates.where("rest > 0").isEmpty()
+    drop(*levels, *old, candidates)
+    return links, whole
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -390,32 +526,46 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     made = cut(texts.mapInArrow(_documents, "doc_id long, sig long, n long, high array<int>, low long"))
     posted = texts.select("text").mapInArrow(_postings, "key long, sig long, n int")
     met = posted.repartition("key").sortWithinPartitions("key").mapInArrow(_meetings, _MET)
-    met = cut(met.groupBy("a", "na", "b", "nb").agg(F.sum("c").alias("c")))
+    met = written(met.groupBy("a", "na", "b", "nb").agg(F.sum("c").alias("c")))
 
     hot = met.where("b is null").select(F.col("a").alias("sig"), F.col("na").cast("long").alias("n"), F.col("c").alias("hot"))
     classes = made.where("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.min("high").alias("high"), F.min("low").alias("low"))
-    classes = cut(classes.join(hot, ["sig", "n"], "left").fillna(0, ["hot"]).where("rep is not null"))
+    classes = written(classes.join(hot, ["sig", "n"], "left").fillna(0, ["hot"]).where("rep is not null"))
 
     side = lambda x: classes.select(F.col("sig").alias(x), F.col("n").cast("int").alias(f"n{x}"), F.col("rep").alias(f"r{x}"), F.col("high").alias(f"high_{x}"), F.col("hot").alias(f"hot_{x}"))
     pairs = met.where("b is not null").join(side("a"), ["a", "na"]).join(side("b"), ["b", "nb"])
     summed = F.aggregate(F.zip_with("high_a", "high_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     bound = F.col("c") + F.least("hot_a", "hot_b") + summed
-    pairs = cut(pairs.where((NUM + DEN) * bound >= NUM * (F.col("na") + F.col("nb"))).select("ra", "rb"))
+    pairs = written(pairs.where((NUM + DEN) * bound >= NUM * (F.col("na") + F.col("nb"))).select("ra", "rb"))
 
     need = F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1
-    dense = cut(classes.where(F.col("low") - F.col("hot") < need).select("rep", "n"))
-    wanted = pairs.select(F.col("ra").alias("doc_id")).unionByName(pairs.select(F.col("rb").alias("doc_id"))).unionByName(dense.select(F.col("rep").alias("doc_id"))).distinct()
-    sets = texts.where("doc_id is not null").join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, sig long, n long, tokens binary")
+    asked = [classes.where(F.col("low") - F.col("hot") < need).select("rep", F.lit(True).alias("thick")), *(pairs.select(F.col(x).alias("rep"), F.lit(False).alias("thick")) for x in ("ra", "rb"))]
+    wanted = asked[0].unionByName(asked[1]).unionByName(asked[2]).groupBy("rep").agg(F.bool_or("thick").alias("thick"))
+    held = texts.where("doc_id is not null").join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "text", "thick")
+    held = held.mapInArrow(_sets, "doc_id long, thick boolean, sig long, n long, tokens binary")
     # Of repeated ids with different texts only the class's own text counts.
-    sets = cut(sets.join(classes.select(F.col("rep").alias("doc_id"), "sig", "n"), ["doc_id", "sig", "n"], "left_semi").select(F.col("doc_id").alias("rep"), "n", "tokens"))
+    own = classes.select(F.col("rep").alias("doc_id"), "sig", "n")
+    sets = written(held.join(own, ["doc_id", "sig", "n"]).select(F.col("doc_id").alias("rep"), "thick", "n", "tokens"))
+    thick = sets.where("thick").drop("thick")
+    some = not thick.isEmpty()
 
     of = lambda x: sets.select(F.col("rep").alias(f"r{x}"), F.col("tokens").alias(f"t{x}"))
-    sparse_links = pairs.join(of("a"), "ra").join(of("b"), "rb").select("ra", "rb", "ta", "tb").mapInArrow(_verified, "ra long, rb long")
-    links = sparse_links.unionByName(_dense_links(sets.join(dense.select("rep"), "rep", "left_semi")))
+    verify = lambda p: p.join(of("a"), "ra").join(of("b"), "rb").select("ra", "rb", "ta", "tb").mapInArrow(_verified, "ra long, rb long")
+    links = written(verify(pairs.unionByName(_family_pairs(thick)).distinct() if some else pairs))
     found = components(links, "ra", "rb")
+    for best in (True, False) if some else ():
+        more, whole = _tree_links(thick, found, best)
+        if not more.isEmpty():
+            before, found = found, components(more.unionByName(found.select(F.col("node").alias("ra"), F.col("component").alias("rb"))), "ra", "rb")
+            drop(before)
+        drop(more)
+        if whole:
+            break
+    drop(met, pairs, sets, links)
 
     # Cut off, so that the last join reads nothing but exchanges and a hot class can be split among tasks.
     named = cut(classes.join(found, classes["rep"] == found["node"], "left").where("size > 1 or component is not null").select("sig", "n", "rep", "component"))
+    drop(classes, found)
     whole = made.select("doc_id", "sig", "n").join(named, ["sig", "n"], "left")
     return whole.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
