@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Characters of text whose pieces are merged together.
-SLICE = 5_000_000
+SLICE = 12_000_000
 _NONE = np.int32(1 << 30)
 #: Code points of letters and digits (first-last, hexadecimal) that tiktoken 0.x, built on an older Unicode, takes for neither.
 LATE = """
