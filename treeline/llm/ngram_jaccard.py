@@ -449,7 +449,7 @@ def _expanded(group: pa.Table) -> pa.Table:
     return pa.table({"a": x.child[i], "b": y.child[j]})
 
 
-_CANDIDATES = "a long, b long, u int, v int, ra long, rb long, ca long, cb long, rest int"
+_CANDIDATES = "a long, b long, u int, v int, ra array<long>, rb array<long>, ca array<long>, cb array<long>, rest long"
 
 
 def _best(group: pa.Table) -> pa.Table:
@@ -461,7 +461,8 @@ def _all(group: pa.Table) -> pa.Table:
 
 
 def _survivors(group: pa.Table, best: bool) -> pa.Table:
-    """Pairs of sets of two nodes that survive the bounds: all, or the one with the best bound for two components and the number of others. u and v are blocks of sets."""
+    """Pairs of sets of two nodes that survive the bounds: all, or the one with the best bound for two components and the number of others; a row for each two
+    blocks u and v of sets."""
     x, y = _pair_of(group)
     i, j, bound = x.join(y)
     rest = np.zeros(len(i), np.int32)
@@ -472,9 +473,15 @@ def _survivors(group: pa.Table, best: bool) -> pa.Table:
         first = np.flatnonzero(np.r_[True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
         rest = (np.diff(np.r_[first, len(order)]) - 1).astype(np.int32)
         i, j = i[order[first]], j[order[first]]
-    whole = lambda c: pa.array(np.full(len(i), group[c][0].as_py(), np.int64))
-    return pa.table({"a": whole("a"), "b": whole("b"), "u": pa.array((i // BLOCK_ROWS).astype(np.int32)), "v": pa.array((j // BLOCK_ROWS).astype(np.int32)),
-                     "ra": x.child[i], "rb": y.child[j], "ca": x.comp[i], "cb": y.comp[j], "rest": rest})
+    u, v = i // BLOCK_ROWS, j // BLOCK_ROWS
+    order = np.lexsort((v, u))
+    i, j, u, v, rest = (z[order] for z in (i, j, u, v, rest))
+    first = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])]) if len(i) else np.zeros(0, np.int64)
+    lists = lambda z: pa.ListArray.from_arrays(pa.array(np.r_[first, len(i)].astype(np.int32)), pa.array(z.astype(np.int64)))
+    whole = lambda c: pa.array(np.full(len(first), group[c][0].as_py(), np.int64))
+    return pa.table({"a": whole("a"), "b": whole("b"), "u": pa.array(u[first].astype(np.int32)), "v": pa.array(v[first].astype(np.int32)),
+                     "ra": lists(x.child[i]), "rb": lists(y.child[j]), "ca": lists(x.comp[i]), "cb": lists(y.comp[j]),
+                     "rest": pa.array(np.add.reduceat(rest, first).astype(np.int64) if len(i) else rest.astype(np.int64))})
 
 
 def _verified_block(own: pa.Table, pairs: pa.Table) -> pa.Table:
@@ -489,7 +496,7 @@ def _verified_block(own: pa.Table, pairs: pa.Table) -> pa.Table:
         return x
 
     out = []
-    for ra, rb, ca, cb in zip(*(pairs[c].to_pylist() for c in ("ra", "rb", "ca", "cb"))):
+    for ra, rb, ca, cb in zip(*(pairs[c][0].as_py() for c in ("ra", "rb", "ca", "cb"))):
         p, q = find(ca), find(cb)
         if p != q and linked(overlap(tokens[ra], tokens[rb]), len(tokens[ra]), len(tokens[rb])):
             root[p] = q
@@ -513,7 +520,7 @@ def _tree_links(dense: DataFrame, found: DataFrame, best: bool) -> tuple[DataFra
     candidates = written(beside(levels[0]).applyInArrow(_best if best else _all, _CANDIDATES))
     key = ["a", "b", "u", "v"]
     block = [F.col(c).alias(f"k_{c}") for c in key]
-    needed = candidates.select(*block, F.explode(F.array("ra", "rb")).alias("rep")).distinct().join(dense.select("rep", "tokens"), "rep")
+    needed = candidates.select(*block, F.explode(F.array_distinct(F.concat("ra", "rb"))).alias("rep")).join(dense.select("rep", "tokens"), "rep")
     links = written(needed.groupBy(*[f"k_{c}" for c in key]).cogroup(candidates.groupBy(*key)).applyInArrow(_verified_block, "ra long, rb long"))
     whole = candidates.where("rest > 0").isEmpty()
     drop(*levels, *old, candidates)
