@@ -180,7 +180,7 @@ def test_experiment_and_reports(spark, tmp_path):
     assert cells.count() == 2 and "<svg" in report.heatmap_svg(cells, "weighted_score")
     table = experiments.method_pivot(got, "link_auc", ["struct", "attr", "none"])
     assert table.first()["none"] == 0.0 and "<svg" in report.bars_svg(table)
-    assert report.markdown_table(got.where("false")) == "_No data available._"
+    assert report.markdown_table(got.where("false")) == "No rows."
     (tmp_path / "a").mkdir()
     (tmp_path / "a/r.csv").write_text("x")
     assert report.bundle(str(tmp_path), ["a/r.csv", "b/r.csv"], str(tmp_path / "out")) == ["a__r.csv"]

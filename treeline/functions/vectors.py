@@ -82,6 +82,18 @@ def attribute_gain(x: Column, total: Column, size: Column, lam: float) -> Column
     return F.when(x.isNotNull() & (size > 0) & (n > 0), F.lit(float(lam)) * dot(x, total) / n).otherwise(F.lit(0.0))
 
 
+def mat_vec(rows: list[list[float]], v: Column | str) -> Column:
+    """Product of a small constant matrix, given by rows, and a vector."""
+    return F.array(*[dot(F.array(*[F.lit(float(x)) for x in r]), v) for r in rows])
+
+
+def duration_text(seconds: Column | str) -> Column:
+    """Whole hours, minutes and seconds, as in ``0h1m5s``."""
+    s = F.floor(_col(seconds)).cast("long")
+    part = lambda x: x.cast("long").cast("string")
+    return F.concat(part(F.floor(s / 3600)), F.lit("h"), part(F.floor(s / 60) % 60), F.lit("m"), part(s % 60), F.lit("s"))
+
+
 def weighted_score(acc: Column, auc: Column, acc_weight: float = 0.7, auc_weight: float = 0.3) -> Column:
     """Weighted sum of accuracy and AUC; accuracy alone without link prediction."""
     return F.when(auc.isNull(), acc).otherwise(F.lit(acc_weight) * acc + F.lit(auc_weight) * auc)

@@ -26,7 +26,8 @@ def degree(edges: DataFrame) -> DataFrame:
 
 
 def weighted_degree(adj: DataFrame) -> DataFrame:
-    return adj.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("degree"))
+    """(id, degree); every edge is there in both directions, so entries are summed by ``dst``, by which adjacencies are dealt."""
+    return adj.groupBy(F.col("dst").alias("id")).agg(F.sum("w").alias("degree"))
 
 
 def self_loop_weight(adj: DataFrame) -> DataFrame:
@@ -38,9 +39,20 @@ def graph_size(edges: DataFrame) -> DataFrame:
     return edges.agg((F.max(F.greatest("u", "v")) + 1).alias("nodes"), F.count(F.lit(1)).alias("edges"))
 
 
+#: Ids from 0 to the greatest for each id that occurs, beyond which ``all_nodes`` asks for renumbered ids.
+SPARSE_IDS = 1_000
+
+
+def used_nodes(edges: DataFrame) -> DataFrame:
+    """(id) of nodes with edges."""
+    return edges.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+
+
 def all_nodes(edges: DataFrame) -> DataFrame:
-    """Every id from 0 to the greatest."""
+    """Every id from 0 to the greatest: ids without edges are nodes too. Ids that are mostly gaps must be renumbered (``renumber``) first."""
     n = graph_size(edges).first()["nodes"] or 0
+    if n > SPARSE_IDS and n > SPARSE_IDS * used_nodes(edges).count():
+        raise ValueError(f"ids up to {n - 1} are mostly gaps; renumber them first")
     return edges.sparkSession.range(n)
 
 
@@ -55,6 +67,13 @@ def number_rows(df: DataFrame, order: list[str], out: str, start: int = 0) -> Da
     return local.join(F.broadcast(shift), "__p").withColumn(out, F.col("__s") + F.col("__local") - 1 + start).drop("__p", "__s", "__local")
 
 
+def rank_within(df: DataFrame, key: str, order: list[str], out: str) -> DataFrame:
+    """0-based places of rows within ``key`` by ``order``; a key's rows may lie in many range partitions, so a hub's are not sorted in one task."""
+    placed = number_rows(df, [key, *order], "__at")
+    first = placed.groupBy(key).agg(F.min("__at").alias("__first"))
+    return placed.join(first, key).withColumn(out, F.col("__at") - F.col("__first")).drop("__at", "__first")
+
+
 def renumber(edges: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
     """(map (new, old), renumbered edges): ids by first appearance in ``order``, u before v in a row."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("old"), *order, F.lit(0).alias("side")), F.struct(F.col("v").alias("old"), *order, F.lit(1).alias("side")))).alias("e")).select("e.*")
@@ -71,7 +90,7 @@ def dense_ids(ids: DataFrame, col: str) -> DataFrame:
 
 def neighbour_weights(adj: DataFrame, assign: DataFrame) -> DataFrame:
     """(id, comm, w): weight from each node to each community around it, itself left out; its own community is always there."""
-    to = adj.where("src <> dst").join(assign.select(F.col("id").alias("dst"), "comm"), "dst").groupBy(F.col("src").alias("id"), "comm").agg(F.sum("w").alias("w"))
+    to = adj.where("src <> dst").join(assign.select(F.col("id").alias("dst"), "comm"), "dst").select(F.col("src").alias("id"), "comm", "w")
     own = assign.select("id", "comm", F.lit(0).cast("long").alias("w"))
     return to.unionByName(own).groupBy("id", "comm").agg(F.sum("w").alias("w"))
 
@@ -82,16 +101,22 @@ def quotient(adj: DataFrame, assign: DataFrame) -> DataFrame:
     return adj.join(a, "src").join(b, "dst").groupBy(F.col("cs").alias("src"), F.col("cd").alias("dst")).agg(F.sum("w").alias("w"))
 
 
-def community_stats(adj: DataFrame, assign: DataFrame) -> DataFrame:
-    """(comm, inside, tot): internal directed weight and summed degree."""
-    return quotient(adj, assign).groupBy(F.col("src").alias("comm")).agg(F.sum(F.when(F.col("src") == F.col("dst"), F.col("w")).otherwise(0)).alias("inside"), F.sum("w").alias("tot"))
+def community_totals(adj: DataFrame, assign: DataFrame) -> DataFrame:
+    """(comm, tot): summed degree, from the nodes' degrees; edges are not joined."""
+    return weighted_degree(adj).join(assign, "id").groupBy("comm").agg(F.sum("degree").alias("tot"))
+
+
+def inside_weights(adj: DataFrame, assign: DataFrame) -> DataFrame:
+    """(comm, inside): directed weight between nodes of one community."""
+    a, b = assign.select(F.col("id").alias("src"), "comm"), assign.select(F.col("id").alias("dst"), F.col("comm").alias("cd"))
+    return adj.join(b, "dst").join(a, "src").where("comm = cd").groupBy("comm").agg(F.sum("w").alias("inside"))
 
 
 def modularity(adj: DataFrame, assign: DataFrame) -> DataFrame:
     """One row (modularity) of an assignment."""
-    stats = community_stats(adj, assign).where("tot > 0")
-    total = stats.agg(F.sum("tot").cast("double").alias("m2"), F.sum("inside").cast("double").alias("i"), F.sum(F.col("tot").cast("double") * F.col("tot").cast("double")).alias("sq"))
-    return total.select(((F.col("i") - F.col("sq") / F.col("m2")) / F.col("m2")).alias("modularity"))
+    both = community_totals(adj, assign).select("tot", F.lit(0).cast("long").alias("inside")).unionByName(inside_weights(adj, assign).select(F.lit(0).cast("long").alias("tot"), "inside"))
+    total = both.agg(F.sum("tot").cast("double").alias("m2"), F.sum("inside").cast("double").alias("i"), F.sum(F.col("tot").cast("double") * F.col("tot").cast("double")).alias("sq"))
+    return total.select(F.when(F.col("m2") > 0, (F.col("i") - F.col("sq") / F.col("m2")) / F.col("m2")).alias("modularity"))
 
 
 def intra_edges(edges: DataFrame, assign: DataFrame) -> DataFrame:
@@ -117,9 +142,13 @@ def compose(fine: DataFrame, coarse: DataFrame) -> DataFrame:
     return fine.join(coarse.select(F.col("id").alias("comm"), F.col("comm").alias("up")), "comm").select("id", F.col("up").alias("comm"))
 
 
+def community_sizes(assign: DataFrame) -> DataFrame:
+    return assign.groupBy("comm").agg(F.count(F.lit(1)).alias("size"))
+
+
 def attribute_sums(assign: DataFrame, attrs: DataFrame) -> DataFrame:
     """(comm, size, total array<double>): nodes without attributes count in size only."""
-    sizes = assign.groupBy("comm").agg(F.count(F.lit(1)).alias("size"))
+    sizes = community_sizes(assign)
     parts = assign.join(attrs, "id").select("comm", F.posexplode("x").alias("j", "value")).groupBy("comm", "j").agg(F.sum(F.col("value").cast("double")).alias("s"))
     totals = parts.groupBy("comm").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "s"))), lambda x: x["s"]).alias("total"))
     return sizes.join(totals, "comm", "left")

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rng import hash52
 from ..plans.lineage import cut
-from .graph import canonical, degree
+from .graph import canonical, degree, number_rows, rank_within
 
 
 def greedy_test_edges(edges: DataFrame, ratio: float, seed: int, max_rounds: int = 1_000) -> DataFrame:
     """Test edges of the greedy rule: in hash order an edge goes to the test set if it leaves both ends a degree of one at least.
 
     Solved as a b-matching in rounds: an edge that is among the first ``spare`` of both ends, is accepted by the
-    sequential rule too; accepted edges use their ends' spare degree up, edges at saturated ends drop out. Ranks at hubs are
-    taken per node, as rows; every round accepts the first open edge at least.
+    sequential rule too; accepted edges use their ends' spare degree up, edges at saturated ends drop out. Ranks at a node come
+    from range partitions, so a hub is no single task; every round accepts the first open edge at least.
     """
     base = cut(canonical(edges).withColumn("k", hash52(seed, F.col("u"), F.col("v"))))
     target = int(base.count() * ratio)
@@ -23,8 +23,8 @@ def greedy_test_edges(edges: DataFrame, ratio: float, seed: int, max_rounds: int
     open_, taken = base, []
     for _ in range(max_rounds):
         ends = open_.select("u", "v", "k", F.explode(F.array("u", "v")).alias("id")).join(spare, "id")
-        first = ends.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("k", "u", "v")))
-        marks = first.groupBy("u", "v", "k").agg(F.max((F.col("spare") <= 0).cast("int")).alias("full"), F.min((F.col("r") <= F.col("spare")).cast("int")).alias("ok"))
+        first = rank_within(ends, "id", ["k", "u", "v"], "r")
+        marks = first.groupBy("u", "v", "k").agg(F.max((F.col("spare") <= 0).cast("int")).alias("full"), F.min((F.col("r") < F.col("spare")).cast("int")).alias("ok"))
         marks = cut(marks)
         got = marks.where("ok = 1 and full = 0").select("u", "v", "k")
         if got.isEmpty():
@@ -38,21 +38,22 @@ def greedy_test_edges(edges: DataFrame, ratio: float, seed: int, max_rounds: int
     found = taken[0]
     for t in taken[1:]:
         found = found.unionByName(t)
-    return found.orderBy("k", "u", "v").limit(target).select("u", "v")
+    return number_rows(found, ["k", "u", "v"], "place").where(F.col("place") < target).select("u", "v")
 
 
 def sample_negatives(nodes: DataFrame, edges: DataFrame, n: int, seed: int, tries: int = 20) -> DataFrame:
     """n distinct pairs u < v of nodes (id, dense from 0) that are no edges; an error if there are too few."""
     count = nodes.count()
-    possible = count * (count - 1) // 2 - canonical(edges).count()
+    known = cut(canonical(edges))
+    possible = count * (count - 1) // 2 - known.count()
     if n > possible:
         raise ValueError(f"{n} negatives asked for; the graph has {possible} pairs without an edge")
-    spark, known, draws = nodes.sparkSession, canonical(edges), max(64, 2 * n)
+    spark, draws = nodes.sparkSession, max(64, 2 * n)
     for _ in range(tries):
         drawn = spark.range(draws).select((hash52(seed, "u", F.col("id")) % count).alias("a"), (hash52(seed, "v", F.col("id")) % count).alias("b"), "id")
         pairs = drawn.where("a <> b").groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.min("id").alias("at"))
         free = pairs.join(known, ["u", "v"], "left_anti")
-        got = cut(free.orderBy("at", "u", "v").limit(n))
+        got = cut(number_rows(free, ["at", "u", "v"], "place").where(F.col("place") < n))
         if got.count() == n:
             return got.select("u", "v")
         draws *= 2

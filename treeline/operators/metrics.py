@@ -60,5 +60,6 @@ def accuracy(predicted: DataFrame) -> DataFrame:
     return predicted.agg(F.coalesce(F.avg((F.col("y") == F.col("predicted")).cast("double")), F.lit(0.0)).alias("accuracy"))
 
 
-def mean_std(df: DataFrame, col: str) -> DataFrame:
-    return df.agg(F.avg(col).alias("mean"), F.stddev_pop(col).alias("std"))
+def mean_std(df: DataFrame, col: str, *by) -> DataFrame:
+    """(mean, std of the population), a row a group of ``by`` if given."""
+    return df.groupBy(*by).agg(F.avg(col).alias("mean"), F.stddev_pop(col).alias("std"))

@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rng import hash52
+from ..functions.vectors import EPS
 from ..plans.lineage import cut
 from .graph import number_rows
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(1, keepdims=True))
-    return e / (e.sum(1, keepdims=True) + 1e-12)
+    e = np.exp(z - z.max(1, keepdims=True))
+    return e / (e.sum(1, keepdims=True) + EPS)
 
 
 def train_softmax(rows: DataFrame, classes: int, dim: int, epochs: int = 60, lr: float = 0.1, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.rng import hash52
 from ..functions.vectors import attribute_gain, structural_gain
 from ..plans.lineage import cut
-from .graph import attribute_sums, community_stats, compose, dense_labels, modularity, neighbour_weights, quotient, weighted_degree
+from .graph import attribute_sums, compose, dense_labels, modularity, neighbour_weights, quotient, weighted_degree
 
 #: Least gain of modularity that a pass or a level must bring, labels of the random strategy.
 MIN_GAIN, RANDOM_LABELS = 0.005, 5
@@ -200,8 +200,9 @@ def best_moves(adj: DataFrame, assign: DataFrame, attrs: DataFrame | None = None
     m2 = adj.agg(F.sum("w")).first()[0] or 0
     near = neighbour_weights(adj, assign)
     deg = weighted_degree(adj)
-    stats = community_stats(adj, assign).select("comm", "tot")
-    cand = near.join(deg, "id").join(assign.select("id", F.col("comm").alias("own")), "id").join(stats, "comm")
+    own = assign.select("id", F.col("comm").alias("own")).join(deg, "id")
+    stats = own.groupBy(F.col("own").alias("comm")).agg(F.sum("degree").alias("tot"))
+    cand = near.join(own, "id").join(stats, "comm")
     out = F.when(F.col("comm") == F.col("own"), F.col("degree")).otherwise(0)
     gain = structural_gain(F.col("w"), F.col("tot") - out, F.col("degree"), F.lit(m2).cast("long"))
     if attrs is not None and lam > 0:

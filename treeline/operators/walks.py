@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rng import hash52, uniform
 from ..plans.lineage import cut
-from .graph import symmetric
+from .graph import rank_within, symmetric
+
+
+#: Pairs of centre and context that one task trains on.
+SHARD_PAIRS = 500_000
 
 
 def indexed_neighbours(edges: DataFrame) -> DataFrame:
     """(src, i, dst): neighbours of each node numbered from 0, as rows, so that a hub needs no array."""
     adj = symmetric(edges).where("src <> dst").select("src", "dst")
-    return adj.withColumn("i", F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1)
+    return rank_within(adj, "src", ["dst"], "i").withColumn("i", F.col("i").cast("int"))
 
 
 def random_walks(edges: DataFrame, num_walks: int = 10, walk_length: int = 40, seed: int = 42, p: float | None = None, q: float | None = None) -> DataFrame:
@@ -65,13 +69,17 @@ def negative_weights(freq: DataFrame, power: float = 0.75) -> DataFrame:
     return made.select("id", (F.col("__w") / F.lit(float(total))).alias("weight"))
 
 
-def skipgram(walks: DataFrame, dim: int = 128, window: int = 5, epochs: int = 3, negatives: int = 5, lr: float = 0.025, seed: int = 42, shards: int = 8, table_rows: int = 200_000) -> DataFrame:
+def skipgram(walks: DataFrame, dim: int = 128, window: int = 5, epochs: int = 3, negatives: int = 5, lr: float = 0.025, seed: int = 42, shards: int | None = None, table_rows: int = 200_000) -> DataFrame:
     """(id, v), L2-normalised input + output vectors of skip-gram with negative sampling.
 
-    Walks are dealt to shards; a shard trains on the vectors of its own nodes, and after each epoch the shards'
-    vectors are averaged by use. Negatives come from a table of at most ``table_rows`` draws by frequency^0.75.
+    Walks are dealt to shards of about ``SHARD_PAIRS`` pairs, so a task's memory does not grow with the corpus; a shard trains on the
+    vectors of its own nodes, and after each epoch the shards' vectors are averaged by use. Negatives come from a table of at most
+    ``table_rows`` draws by frequency^0.75, of which a shard takes those of its own nodes.
     """
     spark = walks.sparkSession
+    if shards is None:
+        lengths = walks.agg(F.sum(F.size("nodes").cast("long"))).first()[0] or 0
+        shards = max(1, -(-lengths * 2 * window // SHARD_PAIRS))
     pairs = cut(context_pairs(walks, window).withColumn("shard", F.pmod(F.xxhash64("walk_id"), F.lit(shards))))
     weights = cut(negative_weights(node_frequency(walks)))
     draw = cut(weights.select("id", (F.col("weight") * table_rows).alias("n")).where((F.floor("n") >= 1) | (uniform(seed, "neg", F.col("id"), portable=False) < F.col("n"))).select("id", F.greatest(F.floor("n"), F.lit(1)).cast("int").alias("n")))

@@ -1,15 +1,37 @@
-"""Cutting lineage between rounds of an iteration."""
+"""The folder that all executors share, and cutting lineage between rounds of an iteration."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in ``spark.checkpoint.dir``; a temporary folder only where that is unset (tests)."""
-    sc = df.sparkSession.sparkContext
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and sc.getCheckpointDir() is None:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``. Where none is set, a temporary one serves a session that is one process; a cluster must name its own."""
+    sc = spark.sparkContext
+    top = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if top is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="treeline-checkpoint-"))
+        top = sc.getCheckpointDir()
+    return top
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cut_by(df: DataFrame, *keys: str) -> DataFrame:
+    """``cut``, dealt by ``keys``: joins and groupings on them shuffle these rows no more. An adaptive plan would forget how they are dealt, so this one is not."""
+    conf = df.sparkSession.conf
+    before = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(df.repartition(*keys))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", before)

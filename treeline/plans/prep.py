@@ -19,11 +19,16 @@ def social(spark: SparkSession, edges_csv: str, groups_csv: str) -> tuple[DataFr
     ids = cut(dense_ids(raw.select(F.explode(F.array("u", "v")).alias("id")), "id"))
     edges = _mapped(raw, ids)
     member = read_int_pairs(spark, groups_csv).select(F.col("a").alias("old"), F.col("b").alias("grp")).distinct().join(ids, "old").select(F.col("new").alias("id"), "grp")
-    groups = cut(dense_ids(member, "grp"))
-    labels = member.join(groups, member["grp"] == groups["old"]).groupBy("id").agg(F.min("new").cast("int").alias("y"))
+    labels = least_group_label(member)
     return edges, multi_hot(member, "id", "grp").select("id", F.transform("hot", lambda x: x.cast("float")).alias("x")), labels
 
 
+def least_group_label(member: DataFrame) -> DataFrame:
+    """(id, y): the place of each id's smallest group among all groups of (id, grp)."""
+    groups = cut(dense_ids(member, "grp"))
+    return member.join(groups, member["grp"] == groups["old"]).groupBy("id").agg(F.min("new").cast("int").alias("y"))
+
+
 def citation(spark: SparkSession, citations: str, topics: str, features: str, width: int = 256) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(edges, attributes, labels): topics are numbered by first appearance among papers with citations; features are hashed."""
     raw = canonical(parse_citations(lines(spark, citations)).select(F.col("a").alias("u"), F.col("b").alias("v")))

@@ -12,7 +12,8 @@ from ..functions.vectors import cosine, dot, l2_normalize, weighted_score
 from ..operators import embed, graph, hierarchy, links, metrics, node_eval, partition, walks
 from ..sources.text import with_parents
 from .experiments import method_pivot
-from .lineage import cut
+from .lineage import cut, cut_by
+from .prep import least_group_label
 
 SEED, COMMS = 42, 50
 
@@ -58,7 +59,7 @@ def query(sql: str | None = None):
 
 
 def _base(spark, d) -> tuple[DataFrame, DataFrame]:
-    adj = cut(graph.symmetric(copurchase(spark, d)))
+    adj = cut_by(graph.symmetric(copurchase(spark, d)), "dst")
     return adj, cut(adj.select(F.col("src").alias("id")).distinct().select("id", (F.col("id") % COMMS).alias("comm")))
 
 
@@ -139,7 +140,7 @@ def intra_edges(spark, d):
 
 @query(f"WITH {_E} z AS (SELECT 1) SELECT comm, count(*) AS size FROM asg GROUP BY 1")
 def community_sizes(spark, d):
-    return _base(spark, d)[1].groupBy("comm").agg(F.count(F.lit(1)).alias("size"))
+    return graph.community_sizes(_base(spark, d)[1])
 
 
 @query(f"WITH {_E} z AS (SELECT 1) SELECT comm, id, (row_number() OVER (PARTITION BY comm ORDER BY id) - 1)::INTEGER AS local FROM asg")
@@ -175,11 +176,12 @@ _X = "xa AS (SELECT p_partkey AS id, (p_size - 25)::DOUBLE AS x1, p_retailprice
 h AS (SELECT c.*, x1, x2, s1 - CASE WHEN c.comm = own THEN x1 ELSE 0 END AS t1, s2 - CASE WHEN c.comm = own THEN x2 ELSE 0 END AS t2, size - CASE WHEN c.comm = own THEN 1 ELSE 0 END AS size
       FROM c JOIN s ON s.comm = c.comm LEFT JOIN xa ON xa.id = c.id),
 g AS (SELECT id, own, comm, w - rest * deg / (SELECT m2 FROM m)::DOUBLE AS f, CASE WHEN x1 IS NOT NULL AND size > 0 AND sqrt(x1*x1 + x2*x2) * sqrt(t1*t1 + t2*t2) > 0
-      THEN 0.2 * (x1*t1 + x2*t2) / (sqrt(x1*x1 + x2*x2) * sqrt(t1*t1 + t2*t2)) ELSE 0 END AS l FROM h)
-SELECT id, own, round(max(CASE WHEN comm = own THEN greatest(f, 0) ELSE f END + l), 6) AS gain FROM g GROUP BY id, own""")
+      THEN 0.2 * (x1*t1 + x2*t2) / (sqrt(x1*x1 + x2*x2) * sqrt(t1*t1 + t2*t2)) ELSE 0 END AS l FROM h),
+v AS (SELECT id, own, comm, CASE WHEN comm = own THEN greatest(f, 0) ELSE f END + l AS gain FROM g)
+SELECT id, own, comm, round(gain, 6) AS gain FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(gain, 9) DESC, comm = own DESC, comm) AS r FROM v) WHERE r = 1""")
 def attr_sync_round(spark, d):
     adj, assign = _base(spark, d)
-    return partition.best_moves(adj, assign, _attrs(spark, d), 0.2).select("id", "own", F.round("gain", 6).alias("gain"))
+    return partition.best_moves(adj, assign, _attrs(spark, d), 0.2).select("id", "own", "comm", F.round("gain", 6).alias("gain"))
 
 
 @query(f"""WITH {_E} k AS (SELECT src AS id, comm, sum(w) AS k FROM adj JOIN asg ON asg.id = dst GROUP BY 1, 2),
@@ -309,12 +311,12 @@ def multi_hot(spark, d):
 @query("""WITH g AS (SELECT grp, row_number() OVER (ORDER BY grp) - 1 AS j FROM (SELECT DISTINCT o_orderpriority AS grp FROM orders)) SELECT o_custkey AS id, min(j)::INT AS y FROM orders JOIN g ON grp = o_orderpriority GROUP BY 1""")
 def min_group_label(spark, d):
     m = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("grp"))
-    names = graph.dense_ids(m, "grp")
-    return m.join(names, m["grp"] == names["old"]).groupBy("id").agg(F.min("new").cast("int").alias("y"))
+    return least_group_label(m)
 
 
-@query(f"""WITH t AS (SELECT p_partkey AS id, unnest(string_split(p_type || ' ' || p_name, ' ')) AS k, p_size::DOUBLE AS x FROM part), h AS (SELECT id, {_H.format('k')} % 16 AS j, sum(x) AS s FROM t WHERE k <> '' GROUP BY 1, 2)
-SELECT id, i AS j, round(coalesce(s, 0), 6) AS value FROM (SELECT p_partkey AS id FROM part) CROSS JOIN range(16) r(i) LEFT JOIN h USING (id) WHERE h.j = i OR NOT EXISTS (SELECT 1 FROM h g WHERE g.id = id AND g.j = i) GROUP BY 1, 2, 3""".replace("LEFT JOIN h USING (id) WHERE h.j = i OR NOT EXISTS (SELECT 1 FROM h g WHERE g.id = id AND g.j = i) GROUP BY 1, 2, 3", "p LEFT JOIN h ON h.id = p.id AND h.j = p.i").replace("SELECT id, i AS j, round(coalesce(s, 0), 6) AS value FROM (SELECT p_partkey AS id FROM part) CROSS JOIN range(16) r(i) p", "SELECT p.id, p.i AS j, round(coalesce(s, 0), 6) AS value FROM (SELECT p_partkey AS id, i FROM part CROSS JOIN range(16) r(i)) p"))
+@query(f"""WITH t AS (SELECT p_partkey AS id, unnest(string_split(p_type || ' ' || p_name, ' ')) AS k, p_size::DOUBLE AS x FROM part), h AS (SELECT id, {_H.format('k')} % 16 AS j, sum(x) AS s FROM t WHERE k <> '' GROUP BY 1, 2),
+p AS (SELECT p_partkey AS id, j FROM part CROSS JOIN range(16) r(j))
+SELECT p.id, p.j, round(coalesce(s, 0), 6) AS value FROM p LEFT JOIN h ON h.id = p.id AND h.j = p.j""")
 def feature_hash(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.explode(F.split(F.concat_ws(" ", "p_type", "p_name"), " ")).alias("k"), F.col("p_size").cast("double").alias("x")).where("k <> ''")
     return graph.feature_hash(p, "id", "k", "x", 16).select("id", F.posexplode("hashed").alias("j", "value")).select("id", F.col("j").cast("long").alias("j"), F.round("value", 6).alias("value"))
@@ -380,7 +382,7 @@ def method_pivot_table(spark, d):
 
 @query("SELECT s_nationkey AS grp, round(avg(s_acctbal), 6) AS mean, round(stddev_pop(s_acctbal), 6) AS std FROM supplier GROUP BY 1")
 def mean_std(spark, d):
-    return table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("grp")).agg(F.round(F.avg("s_acctbal"), 6).alias("mean"), F.round(F.stddev_pop("s_acctbal"), 6).alias("std"))
+    return metrics.mean_std(table(spark, d, "supplier"), "s_acctbal", F.col("s_nationkey").alias("grp")).select("grp", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
 @query("SELECT avg((least(9, floor(abs(embedding[1]) * 40))::INT = label)::INT::DOUBLE) AS accuracy FROM embeddings")
@@ -457,9 +459,15 @@ def node_classification(spark, d):
     return node_eval.eval_node(_vectors(spark, d), labels, runs=1, epochs=5)
 
 
+def _registered() -> dict[str, tuple[Callable, str | None]]:
+    from . import checks  # noqa: F401  adds its own queries
+
+    return _Q
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, (f, _) in _Q.items()}
+    return {k: f for k, (f, _) in _registered().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: sql for k, (_, sql) in _Q.items() if sql}
+    return {k: sql for k, (_, sql) in _registered().items() if sql}

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 def markdown_table(df: DataFrame, rows: int | None = None) -> str:
     got = (df.limit(rows) if rows else df).collect()
     if not got:
-        return "_No data available._"
+        return "No rows."
     show = lambda x: "" if x is None else f"{x:.6f}" if isinstance(x, float) else str(x)
     head = [f"| {' | '.join(df.columns)} |", f"|{'---|' * len(df.columns)}"]
     return "\n".join(head + [f"| {' | '.join(map(show, r))} |" for r in got])

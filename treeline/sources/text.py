@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+
+#: Fixed value: a number in the text formats.
 _NUMBER = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
 
 
@@ -73,7 +76,7 @@ def read_labels(spark: SparkSession, path: str, mode: str = "strict") -> DataFra
 def read_hierarchy(spark: SparkSession, path: str) -> DataFrame:
     """Records (pos, depth, children, members, parent) of a pre-order hierarchy file; ``parent`` is the nearest earlier record one level up.
 
-    A window per file is inherent in the format (a parent is known by its place only); the native form of a hierarchy is the table of paths.
+    The native form of a hierarchy is the table of paths.
     """
     rows = lines(spark, path).withColumn("t", tokens()).where(F.size("t") > 0)
     n = F.col("t")[1].cast("int")
@@ -86,17 +89,22 @@ def read_hierarchy(spark: SparkSession, path: str) -> DataFrame:
 def with_parents(records: DataFrame) -> DataFrame:
     """Adds ``parent``: the last earlier position with depth one less.
 
-    The open ancestors are kept as a running maximum of positions per depth, so it is one pass over sorted records.
+    Records are range-partitioned by position. Each partition keeps the open ancestors as a running map of the last position by depth;
+    what was open before it comes from the last positions by depth of all partitions before, one row a partition.
     """
-    depth = records.agg(F.max("depth")).first()[0] or 0
-    before = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    out = records
-    for d in range(depth):
-        out = out.withColumn(f"__at{d}", F.max(F.when(F.col("depth") == d, F.col("pos"))).over(before))
-    parent = F.lit(None).cast("long")
-    for d in range(depth):
-        parent = F.when(F.col("depth") == d + 1, F.col(f"__at{d}")).otherwise(parent)
-    return out.withColumn("parent", parent).drop(*[f"__at{d}" for d in range(depth)])
+    dealt = cut(records.repartitionByRange("pos").withColumn("__p", F.spark_partition_id()))
+    # One row a partition and depth: the depths of a tree, not its records.
+    last = dealt.groupBy("__p", "depth").agg(F.max("pos").alias("__last"))
+    parts = dealt.select("__p").distinct()
+    earlier = parts.select(F.col("__p").alias("__q")).join(F.broadcast(last), F.col("__p") < F.col("__q")).groupBy("__q", "depth").agg(F.max("__last").alias("__carried"))
+    earlier = earlier.select(F.col("__q").alias("__p"), (F.col("depth") + 1).alias("depth"), "__carried")
+    # Within a partition the last record of each depth before a place: one running window by (partition, depth of a possible parent).
+    up = dealt.select("__p", "pos", (F.col("depth") + 1).alias("depth"), F.col("pos").alias("__from"))
+    asked = dealt.select("__p", "pos", "depth", F.lit(None).cast("long").alias("__from"))
+    before = Window.partitionBy("__p", "depth").orderBy("pos", F.col("__from").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    near = up.unionByName(asked).withColumn("__near", F.max("__from").over(before)).where("__from is null").select("pos", "__near")
+    found = dealt.join(near, "pos").join(F.broadcast(earlier), ["__p", "depth"], "left")
+    return found.withColumn("parent", F.coalesce("__near", "__carried")).select(*records.columns, "parent")
 
 
 def check_hierarchy(records: DataFrame) -> DataFrame:
@@ -134,6 +142,11 @@ def vector_lines(vectors: DataFrame, style: str = "e", col: str = "v") -> DataFr
     return vectors.orderBy("id").select(F.concat_ws(" ", F.col("id").cast("string"), F.array_join(F.transform(col, lambda x: F.format_string(form, x.cast("double"))), " ")).alias("value"))
 
 
+def map_lines(names: DataFrame) -> DataFrame:
+    """Lines of a renumbering (new, old), in the order of the new ids."""
+    return names.orderBy("new").select(F.concat_ws(" ", F.col("new").cast("string"), F.col("old").cast("string")).alias("value"))
+
+
 def label_lines(labels: DataFrame) -> DataFrame:
     return labels.orderBy("id").select(F.concat_ws(" ", F.col("id").cast("string"), F.col("y").cast("string")).alias("value"))
 
@@ -182,9 +195,17 @@ def read_results_if_any(spark: SparkSession, path: str, schema: str = RESULT) ->
 
 
 def write_results(df: DataFrame, path: str, append: bool = False) -> None:
+    """Result rows as CSV parts, each with a header; they are read together by ``read_results``."""
     df.write.mode("append" if append else "overwrite").csv(path, header=True)
 
 
+def result_lines(df: DataFrame) -> DataFrame:
+    """Result rows as lines under one header, for a single file; result tables are small."""
+    head = df.sparkSession.range(1).select(F.lit(0).alias("o"), F.lit(",".join(df.columns)).alias("value"))
+    rows = df.select(F.lit(1).alias("o"), F.to_csv(F.struct(*df.columns)).alias("value"))
+    return head.unionByName(rows).coalesce(1).sortWithinPartitions("o").select("value")
+
+
 def planted_blocks(spark: SparkSession, n: int = 200, p_in: float = 0.08, p_out: float = 0.01, seed: int = 42):
     """Edges, attributes and labels of a two-block random graph; three Gaussian attributes, of which two tell the block.
 
