@@ -232,6 +232,7 @@ def test_quality(spark, sf, texts):
     got = run(spark, sf, "op5_quality").merge(pd.read_parquet(f"{sf}/labels.parquet"), on="doc_id")
     assert (got.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in got.doc_id]).all()
     assert (got.predicted == got.quality).mean() > 0.9 and got.score.between(0, 1).all()
+    assert (got.predicted == got.quality)[got.held_out].mean() > 0.85
 
 
 def test_trees_fit_and_walk_alike():
@@ -542,3 +543,30 @@ def test_pipeline(spark, sf, texts, tiktoken_own):
         kept = kept[kept.doc_id.isin(got)]
     last = cp.run(spark, sf).toPandas().sort_values("doc_id")
     assert last.n_tokens.tolist() == [digests(tiktoken_own, t)[0] for t in kept.text]
+
+
+def test_pipeline_stages_on_odd_rows(spark, sf, odd_docs, no_docs, tiktoken_own):
+    import corpus_pipeline as cp
+
+    rows = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
+    for name, stage in cp.STAGES:
+        made = stage(spark, odd_docs, sf)
+        got = made.collect()
+        assert stage(spark, no_docs, sf).count() == 0 and (name == "tokens" or made.columns == cp.COLUMNS)
+        if name == "tokens":
+            assert Counter(tuple(r)[1:4] for r in got) == Counter(digests(tiktoken_own, t or "") for _, t in rows)
+            continue
+        kept = Counter((r["doc_id"], r["text"]) for r in got)
+        if name == "quality":  # rows of one text stay or go together
+            texts = {t for _, t in kept}
+            assert kept == Counter(r for r in rows if r[1] in texts)
+        elif name == "exact_dedup":
+            assert Counter(i for i, _ in kept.elements()) == Counter({i: k for (i, _, _, stays, _), k in naive_dedup(rows).items() if stays})
+        elif name == "near_dedup":
+            want = Counter()
+            for (i, _, least), k in naive_components(rows).items():
+                want[i] += k * (i == least)
+            assert Counter(i for i, _ in kept.elements()) == +want
+        else:
+            assert kept == Counter(rows)
+            assert [r["doc_id"] for r in got] == [r["doc_id"] for r in mixing.mix(odd_docs).orderBy("slot", "place").collect()]

@@ -4,7 +4,8 @@ The texts of an Arrow batch are split by the pattern and reduced to their distin
 inverted index maps each mergeable pair's rank to the positions, over all pieces, where that pair
 stands. Merges are replayed in rank order: all positions of the lowest rank are merged at once,
 and only the pairs that touch a merged position are looked up anew and filed under their own ranks.
-Texts then take the ids of their pieces from that table.
+Texts then take the ids of their pieces from that table. The index spans slices of ``SLICE`` characters, not the whole corpus; README has
+the figures that decided this.
 
 Memory is bounded by the batch (``SLICE`` characters of text at a time), whatever the corpus; no
 text is shuffled. Pieces stay exact: a null text counts as empty, empty texts give no ids, long

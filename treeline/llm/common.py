@@ -2,35 +2,17 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut, shared_folder  # noqa: F401  operators take them from here
+
 #: Code points of the white space that the contracts name: [\x20\x09-\x0D].
 SPACES = "\\x20\\x09-\\x0D"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``. Where none is set, a temporary one serves a session that is one process; a cluster must name its own."""
-    sc = spark.sparkContext
-    top = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if top is None:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="treeline-checkpoint-"))
-        top = sc.getCheckpointDir()
-    return top
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

@@ -6,7 +6,7 @@ bound the overlap of the sets from above, so pairs whose bound falls short need
 
 An R-tree over such points alone compares any two documents of like size, because random texts of
 like length have like counts: pairs grow with the square of the corpus, however many groups there
-are (README has figures for 16 to 1,024). So the token space is first divided by hash value. Every document posts the tokens of a *low* range (a third or so of its
+are (README has figures for 16 to 1,024 groups). So the token space is first divided by hash value. Every document posts the tokens of a *low* range (a third or so of its
 set); a low token held by 2 to ``HOT`` different sets gives candidate pairs, whose number of common
 low tokens is the first coordinate, known exactly. A token in more sets than that is *hot* and gives
 none. By prefix filtering every link is found that way if one of its documents has enough low
