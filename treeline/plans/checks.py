@@ -217,10 +217,10 @@ def bar_counts(spark, d):
     return spark.createDataFrame([(svg.count('font-size="12"'), svg.count("<rect "))], "groups long, bars long")
 
 
-@query("SELECT count(*) AS nodes, count(DISTINCT label) AS classes FROM embeddings WHERE vec_id % 3 = 0")
+@query("SELECT count(*) AS nodes, (SELECT count(DISTINCT quality) FROM labels) AS classes FROM embeddings JOIN labels ON vec_id = doc_id WHERE quality IS NOT NULL")
 def common_nodes(spark, d):
     """Nodes with a vector and a label: those that a node evaluation uses."""
-    labels = table(spark, d, "embeddings").where("vec_id % 3 = 0").select(F.col("vec_id").alias("id"), F.col("label").alias("y"))
+    labels = table(spark, d, "labels").where("quality is not null").select(F.col("doc_id").alias("id"), F.col("quality").alias("y"))
     got = node_eval.eval_node(_vectors(spark, d), labels, runs=0)
     return got.select(F.col("n_eval_nodes").alias("nodes")).withColumn("classes", F.lit(labels.select("y").distinct().count()).cast("long"))
 
@@ -291,12 +291,12 @@ def louvain_distributed_gain(spark, d):
     return spark.createDataFrame([(found.select("id").distinct().count(), best > alone)], "nodes long, better boolean")
 
 
-@query("SELECT count(DISTINCT c_custkey // 5) AS communities, true AS better, true AS split FROM customer WHERE c_custkey < 100")
+@query("SELECT count(DISTINCT c_custkey // 5) AS communities, true AS better, true AS split FROM customer")
 def hierarchy_levels(spark, d):
     """Blocks chained to each other: communities of the first level, and whether its modularity is at least that of one level of moves."""
-    e = _cliques(spark, d).where("v < 100")
-    chain = spark.range(1, 20).select((F.col("id") * 5 - 1).alias("u"), (F.col("id") * 5).alias("v"), (F.col("id") * 100_000).alias("pos"))
-    e = cut(e.unionByName(chain))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("u"))
+    chain = c.where("u % 5 = 4").withColumn("v", F.col("u") + 1).join(c.select(F.col("u").alias("v")), "v", "left_semi").select("u", "v", (F.col("u") * 10 + 9).alias("pos"))
+    e = cut(_cliques(spark, d).unionByName(chain))
     adj = cut(graph.symmetric(e))
     levels = {s: cut(hierarchy.build_hierarchy(e, s, max_depth=1).select("id", F.get("path", F.lit(0)).cast("long").alias("comm"))) for s in "12"}
     many, one = (graph.modularity(adj, levels[s]).first()[0] for s in "12")
