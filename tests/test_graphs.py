@@ -169,7 +169,13 @@ def test_strategies(spark):
     adj = graph.symmetric(edges(spark, [(0, 1), (1, 2), (0, 2), (3, 4), (4, 5), (3, 5), (2, 3)]))
     got = {r["id"]: r["comm"] for r in partition.louvain_distributed(adj, spark.range(6)).collect()}
     assert got[0] == got[1] == got[2] != got[3] == got[4] == got[5]
-    assert partition.label_propagation_distributed(adj, spark.range(7)).count() == 7
+    labels = {r["id"]: r["comm"] for r in partition.label_propagation_distributed(adj, spark.range(7)).collect()}
+    assert len(labels) == 7
+    around = {}
+    for u, v, w in adj.select("src", "dst", "w").collect():
+        seen = around.setdefault(u, {})
+        seen[labels[v]] = seen.get(labels[v], 0) + w
+    assert all(max(seen.values()) == seen.get(labels[u], 0) for u, seen in around.items())  # no node would change
 
 
 def test_experiment_and_reports(spark, tmp_path):

@@ -67,7 +67,7 @@ def _solved(live: DataFrame, state: DataFrame, run, lam: float, seed: int, big:
         elif partition == "3":
             found = label_propagation_distributed(adj, members, seed=seed)
         else:
-            found = louvain_distributed(adj, members, attrs if partition == "4" else None, lam, levels=1 if partition in ("2", "4") else 10, seed=seed)
+            found = louvain_distributed(adj, members, attrs if partition == "4" else None, lam, levels=1 if partition in ("2", "4") else None, seed=seed)
         found = cut(found.select("id", F.col("comm").cast("int").alias("label")))
         if found.select("label").distinct().limit(2).count() > 1:
             out = out.unionByName(found.select("id", F.array("label").alias("below"), F.lit(True).alias("more")))

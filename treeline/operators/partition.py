@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import random as _random
 from collections.abc import Callable
+from itertools import count
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -219,16 +220,22 @@ def best_moves(adj: DataFrame, assign: DataFrame, attrs: DataFrame | None = None
     return ranked.groupBy("id", "own").agg(best).select("id", "own", (-F.col("b.least")).alias("comm"), F.col("b.gain").alias("gain"))
 
 
-def louvain_distributed(adj: DataFrame, nodes: DataFrame, attrs: DataFrame | None = None, lam: float = 0.0, levels: int = 10, passes: int = 12, seed: int = 42) -> DataFrame:
-    """(id, comm): multi-level local moving in rounds; one level with attributes."""
+def louvain_distributed(adj: DataFrame, nodes: DataFrame, attrs: DataFrame | None = None, lam: float = 0.0, levels: int | None = None, passes: int | None = None, seed: int = 42) -> DataFrame:
+    """(id, comm): multi-level local moving in rounds until a level gains less than MIN_GAIN; one level with attributes.
+
+    A level ends when two passes gain no more than MIN_GAIN, so it always ends; with attributes after MAX_PASSES at the latest,
+    as in one task. ``levels`` and ``passes`` stop it earlier.
+    """
+    if attrs is not None:
+        levels, passes = 1, passes or MAX_PASSES
     whole = cut(nodes.select("id", F.col("id").alias("comm")))
     graph = adj
-    for level in range(1 if attrs is not None else levels):
+    for level in count() if levels is None else range(levels):
         members = cut(graph.select(F.col("src").alias("id")).distinct())
         state = cut(members.select("id", F.col("id").alias("comm")))
         start = top = modularity(graph, state).first()[0] or 0.0
         best = state
-        for turn in range(passes):
+        for turn in count() if passes is None else range(passes):
             moves = best_moves(graph, state, attrs, lam)
             state = cut(moves.select("id", F.when((hash52(seed, level, turn, F.col("id"), portable=False) % 2 == 0) & (F.col("gain") > 0), F.col("comm")).otherwise(F.col("own")).alias("comm")))
             now = modularity(graph, state).first()[0] or 0.0
@@ -256,9 +263,10 @@ def label_round(adj: DataFrame, assign: DataFrame, seed: int | None = None) -> D
     return assign.select("id", F.col("comm").alias("old")).join(moved, "id", "left").select("id", F.coalesce("comm", "old").alias("comm"))
 
 
-def label_propagation_distributed(adj: DataFrame, nodes: DataFrame, rounds: int = 20, seed: int = 42) -> DataFrame:
+def label_propagation_distributed(adj: DataFrame, nodes: DataFrame, rounds: int | None = None, seed: int = 42) -> DataFrame:
+    """(id, comm): rounds in which half of the nodes take their label of ``label_round``, until no node would change; ``rounds`` stops it earlier."""
     state = cut(nodes.select("id", F.col("id").alias("comm")))
-    for turn in range(rounds):
+    for turn in count() if rounds is None else range(rounds):
         new = label_round(adj, state, seed + turn).withColumnRenamed("comm", "new")
         turns = hash52(seed, turn, F.col("id"), portable=False) % 2 == 0
         both = cut(state.join(new, "id").withColumn("next", F.when(turns, F.col("new")).otherwise(F.col("comm"))))
