@@ -199,3 +199,44 @@ def test_streaming_degrees(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r["id"]: r["degree"] for r in spark.table("degrees").collect()} == {0: 1, 1: 2, 2: 1}
+
+
+def test_pairs_that_share_a_key_across_blocks(spark):
+    rnd = random.Random(5)
+    rows = [(rnd.randrange(40), rnd.randrange(60) * 7) for _ in range(600)] + [(1, 7), (1, 7), (None, 7), (99, 5)]
+    m = spark.createDataFrame(rows, "k long, x long")
+    held = defaultdict(set)
+    for k, x in rows:
+        if k is not None:
+            held[k].add(x)
+    want = {(u, v) for s in held.values() for u in s for v in s if u < v}
+    for size in (10, 70, 10_000):
+        got = list(map(tuple, graph.sharing_pairs(m, "k", "x", size).collect()))
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_walks_draw_by_weight_and_hold_no_lists_of_candidates(spark, monkeypatch):
+    """Node 0's walkers come from 1; 2 is next to 1, 3 is not: 1 : 2 : 3 as 1/p : 1 : 1/q."""
+    from treeline.operators import walks
+
+    monkeypatch.setattr(walks.neighbour_pieces, "__defaults__", (2,))  # several rows for node 0
+    e = edges(spark, [(0, 1), (0, 2), (0, 3), (1, 2)])
+    got = walks.random_walks(e, 6000, 3, 1, 0.5, 4.0).collect()
+    seen = defaultdict(int)
+    for r in got:
+        if r["nodes"][:2] == [1, 0]:
+            seen[r["nodes"][2]] += 1
+    n = sum(seen.values())
+    assert len(got) == 24_000 and n > 2000
+    assert [seen[i] / n for i in (1, 2, 3)] == pytest.approx([2 / 3.25, 1 / 3.25, 0.25 / 3.25], abs=0.04)
+    first = [r["nodes"][1] for r in got if r["nodes"][0] == 0]
+    assert [first.count(i) / len(first) for i in (1, 2, 3)] == pytest.approx([1 / 3] * 3, abs=0.04)
+
+
+def test_cut_forgets_size_estimates(spark):
+    from treeline.plans.lineage import cut
+
+    d = cut(spark.range(5))
+    for _ in range(4):
+        d = cut(d.join(d.withColumnRenamed("id", "x"), d["id"] > 2).select("id").distinct())
+    assert len(str(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 25
