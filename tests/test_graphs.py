@@ -240,3 +240,40 @@ def test_cut_forgets_size_estimates(spark):
     for _ in range(4):
         d = cut(d.join(d.withColumnRenamed("id", "x"), d["id"] > 2).select("id").distinct())
     assert len(str(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 25
+
+
+def test_components_of_a_large_graph_are_solved_in_a_task_each(spark):
+    """As the whole graph in one task: no move leaves a component, and gains take the whole graph's weight."""
+    rnd = random.Random(7)
+    pairs = []
+    for k in (0, 40, 90, 200):
+        pairs += [(k + i, k + j) for i in range(30) for j in range(i) if rnd.random() < (0.6 if i // 10 == j // 10 else 0.05)] + [(k, k + 1), (k + 3, k + 3)]
+    e = edges(spark, pairs)
+    for name in ("1", "2", "4"):
+        want, got = paths(hierarchy.build_hierarchy(e, name)), paths(hierarchy.build_hierarchy(e, name, exact_edges=300))
+        assert len(pairs) > 300 and set(got) == set(want)
+        blocks = lambda found: {frozenset(i for i in found if found[i][:1] == p) for p in {x[:1] for x in found.values()}}
+        assert blocks(got) == blocks(want)
+
+
+def test_component_parts_join_ranges(spark):
+    chain = [(i, i + 1) for i in range(0, 60)] + [(100, 130), (130, 101), (200, 201), (5, 5)]
+    parts = graph.component_parts(edges(spark, chain), part_edges=7).collect()
+    found = defaultdict(list)
+    for r in parts:
+        found[r["part"]] += zip(r["u"], r["v"])
+    assert sorted(e for x in found.values() for e in x) == sorted(chain)
+    assert {k: len(x) for k, x in found.items()} == {0: 61, 100: 2, 200: 1}
+
+
+def test_moves_of_blocks_equal_those_of_joins(spark):
+    rnd = random.Random(9)
+    pairs = [(u, v) for u in range(40) for v in range(u) if rnd.random() < 0.3] + [(60, v) for v in range(40)] + [(3, 3), (0, 1), (0, 1)]
+    adj = graph.symmetric(edges(spark, pairs)).select("src", "dst", "w").cache()
+    state = adj.selectExpr("src AS id", "src % 7 AS comm").distinct().cache()
+    key = lambda df: sorted(map(tuple, df.select("id", "own", "comm", "gain").collect()))
+    for entries in (25, 10_000):  # node 60 spans several of the small blocks
+        rounds = partition._Rounds(adj, entries)
+        moves, now = rounds.moves(state)
+        assert key(moves) == key(partition.best_moves(adj, state)) and now == pytest.approx(graph.modularity(adj, state).first()[0])
+        assert sorted(map(tuple, rounds.quotient(state).collect())) == sorted(map(tuple, graph.quotient(adj, state).collect()))

@@ -2,46 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut, shared_folder  # noqa: F401  operators take them from here
+from ..plans.lineage import cut, drop, remove, shared_folder, written  # noqa: F401  operators take them from here
 
 #: Code points of the white space that the contracts name: [\x20\x09-\x0D].
 SPACES = "\\x20\\x09-\\x0D"
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a compressed table in the shared folder, read again; the shuffle files that made it go at once. ``drop`` deletes it."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_to = path
-    return out
-
-
-def drop(*tables: DataFrame) -> None:
-    """Delete tables that ``written`` made, once nothing reads them any more."""
-    for t in tables:
-        remove(t.sparkSession, t.written_to)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
