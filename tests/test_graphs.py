@@ -249,8 +249,10 @@ def test_components_of_a_large_graph_are_solved_in_a_task_each(spark):
     for k in (0, 40, 90, 200):
         pairs += [(k + i, k + j) for i in range(30) for j in range(i) if rnd.random() < (0.6 if i // 10 == j // 10 else 0.05)] + [(k, k + 1), (k + 3, k + 3)]
     e = edges(spark, pairs)
+    x = spark.createDataFrame([(i, [float(i % 10 < 5), float(i // 10 % 3)]) for i in range(0, 230, 2)], "id long, x array<double>")
     for name in ("1", "2", "4"):
-        want, got = paths(hierarchy.build_hierarchy(e, name)), paths(hierarchy.build_hierarchy(e, name, exact_edges=300))
+        attrs = x if name == "4" else None
+        want, got = paths(hierarchy.build_hierarchy(e, name, attrs)), paths(hierarchy.build_hierarchy(e, name, attrs, exact_edges=300))
         assert len(pairs) > 300 and set(got) == set(want)
         blocks = lambda found: {frozenset(i for i in found if found[i][:1] == p) for p in {x[:1] for x in found.values()}}
         assert blocks(got) == blocks(want)
