@@ -279,3 +279,25 @@ def test_moves_of_blocks_equal_those_of_joins(spark):
         moves, now = rounds.moves(state)
         assert key(moves) == key(partition.best_moves(adj, state)) and now == pytest.approx(graph.modularity(adj, state).first()[0])
         assert sorted(map(tuple, rounds.quotient(state).collect())) == sorted(map(tuple, graph.quotient(adj, state).collect()))
+
+
+def test_components_are_found_where_edges_lie(spark):
+    pairs = [(i, i + 1) for i in range(0, 60)] + [(100, 130), (101, 130), (200, 201)]
+    lying = edges(spark, sorted(pairs)).repartitionByRange(3, "u", "v").sortWithinPartitions("u", "v")
+    parts = graph.component_parts(lying, part_edges=4, in_ranges=True).collect()
+    found = defaultdict(list)
+    for r in parts:
+        found[r["part"]] += zip(r["u"], r["v"])
+    assert {k: sorted(x) for k, x in found.items()} == {0: pairs[:60], 100: pairs[60:62], 200: pairs[62:]}
+
+
+def test_louvain_hierarchy_keeps_one_copy_of_its_edges(spark, sf, monkeypatch):
+    from treeline.plans import lineage, queries
+
+    top, held = Path(lineage.shared_folder(spark).removeprefix("file:")), []
+    tables = lambda: {p.name for p in top.rglob("table-*")}
+    solved, before = hierarchy._solved, tables()
+    monkeypatch.setattr(hierarchy, "_solved", lambda *a: held.append(len(tables() - before)) or solved(*a))
+    found = paths(queries.louvain_hierarchy(spark, sf))
+    assert held[0] == 1 and tables() == before
+    assert set(found) == set(range(max(found) + 1)) and any(found.values())
