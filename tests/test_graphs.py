@@ -301,3 +301,37 @@ def test_louvain_hierarchy_keeps_one_copy_of_its_edges(spark, sf, monkeypatch):
     found = paths(queries.louvain_hierarchy(spark, sf))
     assert held[0] == 1 and tables() == before
     assert set(found) == set(range(max(found) + 1)) and any(found.values())
+
+
+def test_sharing_walks_are_uniform_over_distinct_neighbours(spark):
+    """Several blocks and turns, and too few draws at first; 0 and 1 share three keys, which must not make them likelier."""
+    from treeline.operators import walks
+
+    rows = [(k, x) for k in (1, 2, 3) for x in (0, 1)] + [(4, 0), (4, 2), (5, 0), (5, 3), (5, 3), (6, 9), (None, 0), (7, None)]
+    m = spark.createDataFrame(rows, "k long, x long")
+    near = {0: {1, 2, 3}, 1: {0}, 2: {0}, 3: {0}}
+    for size, sent, ahead in ((3, 4, 0), (1000, 10**9, 2)):
+        s = graph.Sharing(m, "k", "x", size, sent)
+        got = walks.sharing_walks(s, 1000, 4, 1, ahead).collect()
+        s.drop()
+        assert sorted(r["walk_id"] for r in got) == sorted(f"{t}:{i}" for t in range(1000) for i in near)
+        assert all(len(r["nodes"]) == 4 and str(r["nodes"][0]) == r["walk_id"].split(":")[1] for r in got)
+        assert all(b in near[a] for r in got for a, b in zip(r["nodes"], r["nodes"][1:]))
+        for at in (0, 1, 2):
+            after = [r["nodes"][at + 1] for r in got if r["nodes"][at] == 0]
+            assert [after.count(i) / len(after) for i in (1, 2, 3)] == pytest.approx([1 / 3] * 3, abs=0.06)
+        if ahead:
+            assert walks.sharing_walks(graph.Sharing(m, "k", "x"), 1, 1).count() == 4
+
+
+def test_deepwalk_stores_no_pairs(spark, tmp_path):
+    """2,000 suppliers of one part: two million pairs, over 10 MB in a checkpoint."""
+    from treeline.plans import lineage, queries
+
+    spark.createDataFrame([(1, i) for i in range(2000)], "l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i,) for i in range(2000)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    top = Path(lineage.shared_folder(spark).removeprefix("file:"))
+    size = lambda: {p: p.stat().st_size for p in top.rglob("*") if p.is_file()}
+    before = size()
+    assert queries.deepwalk(spark, str(tmp_path)).count() == 2000
+    assert max(n for p, n in size().items() if p not in before) < 1_000_000
