@@ -4,6 +4,8 @@ import random
 from collections import defaultdict
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from treeline.functions import vectors as V
@@ -335,3 +337,36 @@ def test_deepwalk_stores_no_pairs(spark, tmp_path):
     before = size()
     assert queries.deepwalk(spark, str(tmp_path)).count() == 2000
     assert max(n for p, n in size().items() if p not in before) < 1_000_000
+
+
+def test_wide_nodes_move_as_if_each_community_was_weighed(monkeypatch):
+    """Also with ties, nodes without attributes and weights of a larger graph; hardly any community is weighed one by one."""
+    from treeline.operators import partition as P
+
+    rnd = np.random.default_rng(5)
+    for n, chance, kind, total in ((300, 1.0, "some", None), (300, 1.0, "all", 60), (250, 0.4, "same", None), (900, 0.1, "all", None)):
+        u, v = np.triu_indices(n, 1)
+        kept = rnd.random(len(u)) < chance
+        u, v = u[kept], v[kept]
+        x = [np.round(rnd.random(2), 6) if kind == "all" or (kind == "some" and i % 3) else (np.ones(2) if kind == "same" else None) for i in range(n)]
+        weighed, found = [], []
+        likeness = P._Moves.likeness
+        for wide in (64, 10**9):
+            monkeypatch.setattr(P, "WIDE", wide)
+            weighed.append(0)
+            monkeypatch.setattr(P._Moves, "likeness", lambda self, *a: (weighed.__setitem__(-1, weighed[-1] + 1), likeness(self, *a))[1])
+            found.append(P.louvain_attributed(hierarchy.local_graph(np.arange(n), u, v, total and total * 2 * len(u)), x=x, lam=0.2))
+            monkeypatch.setattr(P._Moves, "likeness", likeness)
+        assert found[0] == found[1]
+        if kind == "all":
+            assert 5 * weighed[0] < weighed[1]
+
+
+def test_pairs_are_marked_or_sorted_alike(monkeypatch):
+    lists = [[1, 5, 6], [1, 5], [2, 9], [5, 6, 9, 12], [3, 4]]
+    t = pa.table({"block": pa.array([0] * len(lists), pa.int32()), "nodes": pa.array(lists, pa.list_(pa.int64()))})
+    want = sorted({(a, b) for x in lists for i, a in enumerate(x) if a < 6 for b in x[i + 1 :]})
+    for marks in (10**6, 16, 1, 0):
+        monkeypatch.setattr(graph, "MARKS", marks)
+        got = [p for b in graph._block_pairs(np.array([6]))(t.to_batches()) for p in zip(*(b[c].to_pylist() for c in ("u", "v")))]
+        assert got == want
