@@ -370,3 +370,44 @@ def test_pairs_are_marked_or_sorted_alike(monkeypatch):
         monkeypatch.setattr(graph, "MARKS", marks)
         got = [p for b in graph._block_pairs(np.array([6]))(t.to_batches()) for p in zip(*(b[c].to_pylist() for c in ("u", "v")))]
         assert got == want
+
+
+def test_deepwalk_walks_and_trains_in_full(spark, tmp_path, monkeypatch):
+    """10 walks of 40 from each supplier, window 5, 3 epochs, 128 numbers, as of the operators by default."""
+    from treeline.operators import walks
+    from treeline.plans import queries
+
+    spark.createDataFrame([(i // 3, i) for i in range(12)], "l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i,) for i in range(12)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    made, epochs, skipgram, epoch = [], [], walks.skipgram, walks._epoch
+    monkeypatch.setattr(walks, "skipgram", lambda w, **k: made.extend(w.collect()) or skipgram(w, **k))
+    monkeypatch.setattr(walks, "_epoch", lambda table, rate, *a: epochs.append(a[:2]) or epoch(table, rate, *a))
+    got = queries.deepwalk(spark, str(tmp_path)).collect()
+    assert sorted(r["walk_id"] for r in made) == sorted(f"{t}:{i}" for t in range(10) for i in range(12))
+    assert all(len(r["nodes"]) == 40 and all(a != b and a // 3 == b // 3 for a, b in zip(r["nodes"], r["nodes"][1:])) for r in made)
+    assert epochs == [(5, 5)] * 3 and len(got) == 12 and {len(r["v"]) for r in got} == {128}
+
+
+def test_skipgram_shards_agree_on_communities(spark):
+    """Walks in two rings, dealt to several shards that share nodes: nodes of a ring come to lie together."""
+    from treeline.operators import walks
+
+    rnd = random.Random(1)
+    w = spark.createDataFrame([(f"{t}:{i}", [10 * (i // 10) + rnd.randrange(10) for _ in range(20)]) for t in range(20) for i in range(20)], "walk_id string, nodes array<long>")
+    for shards in (1, 3):
+        v = {r["id"]: np.array(r["v"]) for r in walks.skipgram(w, dim=16, epochs=3, lr=0.05, shards=shards).collect()}
+        near = np.array([[v[i] @ v[j] for j in range(20)] for i in range(20)])
+        assert len(v) == 20 and near[:10, :10].mean() > near[:10, 10:].mean() + 0.5
+
+
+def test_pairs_of_places_and_products():
+    from treeline.operators import walks
+
+    want = sorted((i, j) for first, n in ((0, 3), (3, 1), (4, 5)) for i in range(first, first + n) for j in range(first, first + n) if 0 < abs(i - j) <= 2)
+    assert sorted(zip(*(x.tolist() for x in walks._pairs_of_places(np.array([3, 1, 5]), 2)))) == want
+    rnd = np.random.default_rng(2)
+    to, at, g, x = rnd.random((50, 8)), rnd.integers(0, 50, (90, 6)), rnd.random((90, 6)), rnd.random((90, 8))
+    slow = to.copy()
+    np.add.at(slow, at.ravel(), (g[:, :, None] * x[:, None, :]).reshape(-1, 8))
+    walks._add_products(to, at, g, x)
+    assert np.allclose(to, slow)
